@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python hold at most this many bytes, so that long texts do not pile up.
@@ -51,7 +52,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     """Cut a batch into runs of rows with about ``limit`` bytes of text each; a single longer text is a slice of its own."""
     if not batch.num_rows:
         return
-    size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for row, n in enumerate(size.tolist()):
         if row > start and total + n > limit:

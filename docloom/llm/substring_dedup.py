@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +143,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 held = s.column("firsts")
                 hit = np.flatnonzero(_hit(bitmap, bits, low))
                 own = np.asarray(held.flatten().to_numpy(zero_copy_only=False), np.int64).view(U)
-                size = np.asarray(pa.compute.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+                size = np.asarray(pc.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 # (row, window) pairs of the index against those of the texts
                 row = words.row[at[hit]]
                 pair = np.concatenate([_pair(np.repeat(np.arange(len(size)), size), own), _pair(row, w[hit])])
