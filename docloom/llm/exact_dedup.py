@@ -1,14 +1,13 @@
 """Exact dedup by content sort.
 
 Sampled splitters range-partition the normalised texts (Spark's range partitioner samples them), an external
-sort inside each partition places equal texts next to each other, and neighbours are compared in full. Rows
-are split by (text, doc_id), so one text with very many copies spreads over several partitions; runs that
+sort inside each partition places equal texts next to each other, and neighbours are compared in full. Splitters are
+the start of a text, its digest and the id, so one text with very many copies spreads over several partitions; runs that
 cross a partition border are tied together by a full comparison of the texts at the border.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._base import bound_batches, materialise, table, utf8
 
-NULL_ID = (1 << 63) - 1
+NULL_ID, SPLITTER = (1 << 63) - 1, 24
 SPACE = r"[\x20\x09-\x0D]+"
 _SCHEMA = "doc_id long, keep long, size long, part int, head boolean, tail boolean, edge binary, text_sha256 string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("keep", pa.int64()), ("size", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("tail", pa.bool_()), ("edge", pa.binary()), ("text_sha256", pa.string())])
@@ -51,7 +50,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.clear()
 
     for batch in batches:
-        for doc, t in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("norm")), strict=True):
+        for doc, t, sha in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("norm")), batch.column("digest").to_pylist(), strict=True):
             if t == text:
                 ids.append(doc)
                 continue
@@ -64,7 +63,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(out) >= 8192:
                         yield from flush()
                 head = False
-            text, ids, digest = t, [doc], hashlib.sha256(t).hexdigest()
+            text, ids, digest = t, [doc], sha
     yield from flush()
     if ids:
         yield from closed(True)
@@ -80,7 +79,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("norm"))
-    runs = materialise(rows.repartitionByRange("norm", "doc_id").sortWithinPartitions("norm", "doc_id").mapInArrow(_runs, _SCHEMA), "runs")
+    # Splitters are sampled to the driver: the start of a text and its digest order it, so that a sample is short however long texts are.
+    rows = rows.select("doc_id", "norm", F.substring("norm", 1, SPLITTER).alias("start"), F.sha2("norm", 256).alias("digest"))
+    runs = materialise(rows.repartitionByRange("start", "digest", "doc_id").sortWithinPartitions("start", "digest", "norm", "doc_id").drop("start").mapInArrow(_runs, _SCHEMA), "runs")
     # Borders: at most two runs a partition. Their texts meet in a join on the partition's number.
     edges = runs.where("head or tail").groupBy("part", "head", "tail").agg(F.min("keep").alias("keep"), F.max("size").alias("size"), F.max("edge").alias("edge"))
     parts = edges.groupBy("part").agg(F.max(F.col("head") & F.col("tail")).alias("whole"))
