@@ -18,7 +18,7 @@ from ._base import bound_batches, materialise, table, text_slices
 from ._words import BYTE_HASH, Words, mix
 
 U = np.uint64
-BITS, SAMPLE, MOST_LANGUAGES, STRENGTH, TRUST, LEAST = 16, 20_000, 32, 8.0, 0.8, 0.5
+BITS, SAMPLE, MOST_LANGUAGES, STRENGTH, TRUST = 16, 20_000, 32, 8.0, 0.8
 #: Trigrams overlap, so their likelihood is tempered.
 TEMPER = 1 / 3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -77,7 +77,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: i
 
 
 def text_evidence(docs: DataFrame, text_col: str, id_col: str, langs: list[str], table_: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Id, ``keep`` columns and log-likelihoods (array, by ``langs``) of each text, and how many trigrams it has."""
+    """Id, ``keep`` columns and log-likelihoods (array, by ``langs``) of each text, and how many bytes of letters it has."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(table_)
 
@@ -87,18 +87,18 @@ def text_evidence(docs: DataFrame, text_col: str, id_col: str, langs: list[str],
                 words = Words(s.column("__text"))
                 code, ok = _grams(words.data, words.offsets)
                 at = np.searchsorted(np.flatnonzero(ok), words.offsets)
-                n = np.diff(at)
+                letters = np.diff(np.r_[0, np.cumsum(_LETTER[_FOLD[words.data]])][words.offsets])
                 code = code[ok]
                 like = np.zeros((words.rows, len(langs)), np.float64)
-                full = np.flatnonzero(n)
+                full = np.flatnonzero(np.diff(at))
                 for k in range(len(langs)):
                     if len(full):
                         like[full, k] = np.add.reduceat(shared.value[k][code].astype(np.float64), at[:-1][full])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(words.rows + 1, dtype=np.int32) * len(langs)), pa.array(like.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([s.column("__id"), *(s.column(c) for c in keep), lists, pa.array(n.astype(np.int64))], names=["__id", *keep, "like", "grams"])
+                yield pa.RecordBatch.from_arrays([s.column("__id"), *(s.column(c) for c in keep), lists, pa.array(letters.astype(np.int64))], names=["__id", *keep, "like", "letters"])
 
     kinds = dict(docs.dtypes)
-    schema = "__id long" + "".join(f", `{c}` {kinds[c]}" for c in keep) + ", like array<double>, grams long"
+    schema = "__id long" + "".join(f", `{c}` {kinds[c]}" for c in keep) + ", like array<double>, letters long"
     return docs.select(F.col(id_col).cast("long").alias("__id"), *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
@@ -117,7 +117,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", group_col: str = "source", sample: int = SAMPLE) -> DataFrame:
     """One row for each document: id, language ("und" if undecided), posterior, text_language, declared, host, accepted.
 
-    A document is rejected when it has no letters to go by, or when no language reaches a posterior of one half.
+    A document is rejected when it has no letters to go by; one that is only ambiguous gets its likeliest language and a low posterior.
     ``label_col`` is used to train only. Where no page tells a host, ``group_col`` stands for it. Null texts count as
     empty and are rejected; without labelled rows all are "und". Ids may be null or repeat: each row gets its own answer.
     """
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     else:
         scored = scored.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "host")})
     scored = scored.withColumn("host", F.coalesce(F.nullif("host", F.lit("")), F.col("__group"), F.lit(""))).withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.coalesce("suffix", F.lit(""))).withColumn("declared", F.coalesce("declared", F.lit("")))
-    sums = lambda p: [F.sum(F.when(F.col("grams") > 0, F.col("post")[k]).otherwise(0.0)).alias(f"{p}{k}") for k in range(L)]
+    sums = lambda p: [F.sum(F.when(F.col("letters") > 0, F.col("post")[k]).otherwise(0.0)).alias(f"{p}{k}") for k in range(L)]
     # One grouping by all four gives the tables of each: hosts with their sites, suffixes, declared languages, all.
     cells = scored.groupBy("host", "site", "suffix", "declared").agg(*sums("n"))
     cells = materialise(cells, "cells")
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     a = np.array([float(v or 0) for v in every])
     base = ((a + 1) / (a.sum() + L)).tolist()
     joined = scored.join(hosts, "host").join(sites, "site").join(suffixes, "suffix")
-    own = lambda k: F.when(F.col("grams") > 0, F.col("post")[k]).otherwise(0.0)
+    own = lambda k: F.when(F.col("letters") > 0, F.col("post")[k]).otherwise(0.0)
     plus = lambda p: sum((F.greatest(F.col(f"{p}{j}") - own(j), F.lit(0.0)) for j in range(1, L)), F.greatest(F.col(f"{p}0") - own(0), F.lit(0.0)))
     level = lambda p, parent: lambda k: (F.greatest(F.col(f"{p}{k}") - own(k), F.lit(0.0)) + STRENGTH * parent(k)) / (plus(p) + STRENGTH)
     site = level("s", lambda k: F.lit(base[k]))
@@ -157,8 +157,8 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     fused = joined.withColumn("fused", soft(arr(lambda k: F.col("ll")[k] + F.log(F.col("hp")[k]) + suffix(k) + declared(k))))
     best = F.array_max("fused")
     name = lambda col, top: F.element_at(F.array(*map(F.lit, langs)), F.array_position(col, top).cast("int"))
-    sure = (F.col("grams") > 0) & (best >= LEAST)
-    return fused.select(F.col("__id").alias("doc_id"), F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"), F.round(best, 6).alias("posterior"), F.when(F.col("grams") > 0, name(F.col("post"), F.array_max("post"))).alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"), "host", sure.alias("accepted")).select("doc_id", *[c.split()[0] for c in out.split(", ")])
+    sure = (F.col("letters") > 0)
+    return fused.select(F.col("__id").alias("doc_id"), F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"), F.round(best, 6).alias("posterior"), F.when(F.col("letters") > 0, name(F.col("post"), F.array_max("post"))).alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"), "host", sure.alias("accepted")).select("doc_id", *[c.split()[0] for c in out.split(", ")])
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def build(model: PieceModel):
 class Codec:
     """Encoder and decoder of one process. ``held`` distinct words stay known between batches."""
 
-    def __init__(self, data: bytes, threads: int = 2, held: int = 200_000, parity: bool = True):
+    def __init__(self, data: bytes, threads: int = 2, held: int = 500_000, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
@@ -242,7 +242,7 @@ def _codec(data: bytes, **how) -> Codec:
 def encode_column(docs: DataFrame, text_col: str = "text", path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), parity: bool = True) -> DataFrame:
     """``keep`` columns with n_tokens, ids and agrees (same ids as the sentencepiece library, and words decode to themselves).
 
-    Null and empty texts have no tokens. Other columns are ignored; rows may repeat; whole texts are encoded.
+    Null and empty texts have no tokens. A literal marker character is a space to the model and decodes as one, in either library. Other columns are ignored; rows may repeat; whole texts are encoded.
     """
     spark = docs.sparkSession
     bound_batches(spark)
