@@ -88,8 +88,9 @@ def bullets(text: Column) -> Column:
 
 def language_scores(text: Column) -> Column:
     """A struct of the counts of stop words in the first 200 characters, by language."""
-    words = F.transform(F.split(F.lower(F.substring(text, 1, 200)), r"[^\p{L}]+"), lambda w: w)
-    return F.struct(*[F.size(F.filter(words, lambda w, s=stop: w.isin(*s))).cast("long").alias(lang) for lang, stop in STOP_WORDS.items()])
+    words = F.split(F.lower(F.substring(text, 1, 200)), r"[^\p{L}]+")
+    count = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop))).cast("long")
+    return F.struct(*[count(stop).alias(lang) for lang, stop in STOP_WORDS.items()])
 
 
 def sentences(text: Column) -> Column:

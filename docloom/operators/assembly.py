@@ -116,7 +116,7 @@ def facsimile(pages: DataFrame) -> DataFrame:
 
 def coordinates(boxes: Column) -> Column:
     """Boxes (page, x, y, w, h) as an attribute value."""
-    return F.array_join(F.transform(boxes, lambda b: F.concat_ws(",", b["page"].cast("string"), *[F.format_number(b[c], "0.00") for c in ("x", "y", "w", "h")])), ";")
+    return F.array_join(F.transform(boxes, lambda b: F.concat_ws(",", b["page"].cast("string"), *[F.format_string("%.2f", b[c]) for c in ("x", "y", "w", "h")])), ";")
 
 
 def element_id(doc: Column, n: Column) -> Column:

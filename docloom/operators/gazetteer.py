@@ -69,7 +69,8 @@ def tokens_in_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 def email_url_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, found) of the emails and addresses in the texts."""
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"(?:https?://|www\.)[^\s<>\"]+"}
-    each = [F.transform(F.regexp_extract_all("text", F.lit(p), 0), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("found"))) for k, p in kinds.items()]
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+    each = [found(k, p) for k, p in kinds.items()]
     return docs.select("doc_id", F.explode(F.concat(*each)).alias("e")).select("doc_id", "e.kind", "e.found")
 
 

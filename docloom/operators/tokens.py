@@ -19,13 +19,10 @@ RULES = (
 def explode_tokens(docs: DataFrame, pattern: str = T.TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, tok, char_offset): all tokens, white space included. Null and empty texts have none.
 
-    Offsets are sums over the array of the document's own tokens, so no shuffle is needed.
+    Offsets are running sums in one window by document, whose distribution later windows by document reuse.
     """
     toks = T.tokenize(F.col(text_col), pattern)
     held = docs.select(F.col(id_col).alias("doc_id"), toks.alias("toks"))
-    # (offset, token) pairs by one pass over the array
-    step = lambda acc, t: F.struct((acc["at"] + F.length(t)).alias("at"), acc["at"].alias("start"), t.alias("tok"))
-    del step
     out = held.select("doc_id", F.posexplode("toks").alias("pos", "tok"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("char_offset", F.coalesce(F.sum(F.length("tok")).over(w), F.lit(0)).cast("long"))
