@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import MONTHS
+
 NAMES = ("Martin", "Bernard", "Thomas", "Petit", "Robert", "Richard", "Durand", "Dubois", "Moreau", "Laurent", "Simon", "Michel", "Garcia", "David", "Bertrand", "Roux")
 
 
@@ -49,10 +51,14 @@ def shift_date(value: Column, key: str, days: int = 3650) -> Column:
 
 
 def shift_raw_date(value: Column, key: str) -> Column:
-    """A raw date of the shape d/m/y keeps its separators and gets another day and year; other values stay."""
+    """A raw date of the shape d/m/y, or with a month's name, keeps its separators and gets another day, month and year; other values stay."""
     shape = r"^(\d{1,2})([/.-])(\d{1,2})([/.-])(\d{4})$"
     part = lambda g: F.regexp_extract(value, shape, g)
     day = F.lpad((pick(key, value, F.lit(1), 28) + 1).cast("string"), 2, "0")
     month = F.lpad((pick(key, value, F.lit(2), 12) + 1).cast("string"), 2, "0")
     year = (F.lit(1920) + pick(key, value, F.lit(3), 100)).cast("string")
-    return F.when(value.rlike(shape), F.concat(day, part(2), month, part(4), year)).otherwise(value)
+    named = r"^(\d{1,2})(\s+)(\p{L}+)(\s+)(\d{4})$"
+    gap = lambda g: F.regexp_extract(value, named, g)
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), (pick(key, value, F.lit(2), 12) + 1).cast("int"))
+    known = value.rlike(named) & F.lower(gap(3)).isin(*MONTHS)
+    return F.when(value.rlike(shape), F.concat(day, part(2), month, part(4), year)).when(known, F.concat(day, gap(2), name, gap(4), year)).otherwise(value)

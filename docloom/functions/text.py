@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +96,25 @@ def language_scores(text: Column) -> Column:
     return F.struct(*[count(stop).alias(lang) for lang, stop in STOP_WORDS.items()])
 
 
+def detected_language(scores: Column) -> Column:
+    """The language with most stop words; of equal ones the first in order, ``und`` without any."""
+    most = F.greatest(*[scores[lang] for lang in STOP_WORDS])
+    out = F.lit("und")
+    for lang in reversed(STOP_WORDS):
+        out = F.when((most > 0) & (scores[lang] == most), lang).otherwise(out)
+    return out
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; Spark has no such function, so whole Arrow batches go through Python."""
+
+    @F.pandas_udf("string")
+    def compose(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return compose(text)
+
+
 def sentences(text: Column) -> Column:
     """Sentences end behind a run of ``.!?`` that white space follows; they keep what stands between them, so that offsets add up."""
     return F.regexp_extract_all(text, F.lit(r"(?s).+?(?:[.!?]+\s+|$)"), 0)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
-from ..plans.schema import ALIASES
+from ..plans.schema import ALIASES, FIELDS
 from .tokens import ordered_join
 
 
@@ -47,6 +47,16 @@ def annotate_inline(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(done, "doc_id", "left").select("doc_id", F.coalesce("tagged", xml_escape(F.col("text"))).alias("tagged"))
 
 
+def tag_table(model: str) -> dict[str, str]:
+    """Tag to label for a model's corpora: its labels, the tags of its records' fields, and aliases."""
+    from .assembly import FRAGMENTS
+
+    out = {label: label for label, _, _ in FIELDS[model]}
+    for field, tag, _ in FRAGMENTS.get(model, ()):
+        out.setdefault(tag, next(label for label, f, _ in FIELDS[model] if f == field))
+    return out | {alias: label for alias, label in ALIASES.items() if label in out}
+
+
 def read_tagged(files: DataFrame, tags: dict[str, str], xml_col: str = "xml") -> DataFrame:
     """(doc_id, pos, tok, label) of texts with inline tags; mixed content needs a real parser. Text outside known tags is ``other``; broken XML gives one row with the label ``error``."""
 

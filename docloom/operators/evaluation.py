@@ -74,6 +74,16 @@ def blank_training(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("label", F.lit("other"))
 
 
+def training_rows(labeled: DataFrame, mapping: DataFrame, tag_of: dict[str, str], model: str) -> DataFrame:
+    """(doc_id, model, variant, payload) of the three kinds of training texts: blank, annotated, pseudonymised. Labels come from the originals, texts of the last kind from the map."""
+    from .pseudonymize import anonymised_tags
+    from .tokens import inline_tags
+
+    made = {"blank": inline_tags(blank_training(labeled), tag_of), "annotated": inline_tags(labeled, tag_of), "pseudonymised": anonymised_tags(labeled, mapping, tag_of)}
+    parts = [df.select("doc_id", F.lit(model).alias("model"), F.lit(variant).alias("variant"), F.col("tagged").alias("payload")) for variant, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def merge_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, start, end): sentences joined where an entity reaches over their border; by running maximum of ends, one shuffle."""
     spans = sentences.select("doc_id", "start", "end", F.lit(1).alias("is_sentence")).unionByName(entities.select("doc_id", F.col("start"), F.col("end"), F.lit(0).alias("is_sentence")))

@@ -78,6 +78,29 @@ def inline_tags(labeled: DataFrame, tag_of: dict[str, str], keys: tuple[str, ...
     return text.withColumn("piece", piece).groupBy(*keys).agg(ordered_join("piece", "cluster_no", "").alias("tagged"))
 
 
+def nested_tags(labeled: DataFrame, tag_of: dict[str, str], inside: str, inner_tag_of: dict[str, str]) -> DataFrame:
+    """(doc_id, tagged): as :func:`inline_tags`, and runs of the label ``inside`` carry the tags of a second labelling (column ``inner``) within."""
+    outer = cluster(labeled).withColumnRenamed("label", "outer")
+    inner = F.when(F.col("outer") == inside, F.col("inner")).otherwise("other")
+    runs = cluster(outer.select("doc_id", F.col("cluster_no").alias("outer_no"), "outer", "pos", "ws", "tok", inner.alias("label")), ("doc_id", "outer_no"))
+    kept = lambda x, i: F.when(i == 0, T.xml_escape(x["tok"])).otherwise(F.concat(x["ws"], T.xml_escape(x["tok"])))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ws", "tok"))), kept), "")
+    text = runs.groupBy("doc_id", "outer_no", "outer", "cluster_no", "label").agg(F.min_by("ws", "pos").alias("lead"), body.alias("x"))
+
+    def tagged(label: Column, names: dict[str, str], value: Column) -> Column:
+        out = value
+        for own, tag in names.items():
+            out = F.when(label == own, F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag.split(' ')[0]}>"))).otherwise(out)
+        return out
+
+    parts = text.withColumn("x", tagged(F.col("label"), inner_tag_of, F.col("x")))
+    # the white space before an outer run stays before its tag
+    first = F.col("cluster_no") == 1
+    whole = parts.groupBy("doc_id", "outer_no", "outer").agg(F.min_by("lead", "cluster_no").alias("lead"), ordered_join(F.when(first, F.col("x")).otherwise(F.concat("lead", "x")), F.col("cluster_no"), "").alias("x"))
+    piece = F.concat(F.col("lead"), tagged(F.col("outer"), tag_of, F.col("x")))
+    return whole.groupBy("doc_id").agg(ordered_join(piece, F.col("outer_no"), "").alias("tagged"))
+
+
 def with_white_space(tokens: DataFrame) -> DataFrame:
     """Drop blank tokens; ``ws`` of each other token is the white space before it."""
     w = Window.partitionBy("doc_id").orderBy("pos")

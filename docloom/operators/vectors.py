@@ -36,17 +36,23 @@ def token_columns(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("position", X.scaled(F.col("char_offset"), F.col("total"), POSITION_BINS))
 
 
-def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None) -> DataFrame:
-    """(doc_id, pos, features). With a map of pseudonyms, tokens are swapped first: features never show the original."""
+def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, features). With a map of pseudonyms, tokens are swapped first: features never show the original.
+    With a lexicon, one flag for each of its classes stands at the end of a line."""
     rows = explode_tokens(docs)
     if replaced is not None:
         from .pseudonymize import apply_map
 
         rows = apply_map(rows, replaced).drop("replaced")
     rows = token_columns(rows)
+    flags = []
+    if lex is not None:
+        from .gazetteer import CLASSES, members
+
+        rows, flags = members(rows, lex), [F.col(f"is_{c}") for c in CLASSES]
     t, low = F.col("tok"), F.lower("tok")
     made = {
         "tok": t, "low": low, **{f"p{n}": X.prefix(low, n) for n in range(1, 6)}, **{f"s{n}": X.suffix(low, n) for n in range(1, 6)}, "caps": X.capitalisation(t), "digit": X.digits(t), "single": X.single_char(t), "punct": X.punctuation(t), "shape": X.shape(t), "trimmed": X.trimmed_shape(X.shape(t)),
         "year": X.flag(X.is_year(t)), "month": X.flag(X.is_month(t)), "email": X.flag(X.is_email(t)), "http": X.flag(X.is_http(t)), "line": F.col("line"), "block": F.col("block"), "position": F.col("position"),
     }
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), X.serialise(*[made[c] for c in VECTORS[model]]).alias("features"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), X.serialise(*[made[c] for c in VECTORS[model]], *flags).alias("features"))

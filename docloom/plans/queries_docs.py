@@ -8,6 +8,7 @@ from ..functions import pseudonym as P
 from ..functions import text as T
 from ..operators import assembly as A
 from ..operators import corpus as C
+from ..operators import documents as D
 from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators import perceptron
@@ -75,6 +76,33 @@ def label_sequences(spark, d):
     return K.sequences(LABELED.df(spark), ("settlement",), ("marker",))
 
 
+NESTED = Literal(
+    "doc_id bigint,pos bigint,ws string,tok string,label string,inner string",
+    (1, 0, "", "CHU", "org", "x"), (1, 1, " ", "Dr", "I-medic", "rolename"), (1, 2, " ", "Paul", "medic", "persname"), (1, 3, " ", "<Roux>", "medic", "persname"), (1, 4, ",", "chef", "medic", "other"), (1, 5, "\n", "Dr", "I-medic", "rolename"), (1, 6, " ", "Anne", "medic", "persname"), (1, 7, " ", "Lyon", "other", "persname"), (2, 0, "", "Rien", "other", "other"),
+)
+
+
+@query(f"""WITH a AS (SELECT *, regexp_replace(label, '^I-', '') AS lab FROM {NESTED.sql}), b AS (SELECT *, CAST(starts_with(label, 'I-') OR lag(lab) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM lab AS INT) AS o, CASE WHEN lab = 'medic' THEN "inner" ELSE 'other' END AS inn FROM a),
+c AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY pos) AS oc FROM b), e AS (SELECT *, CAST(lag(inn) OVER (PARTITION BY doc_id, oc ORDER BY pos) IS DISTINCT FROM inn AS INT) AS io FROM c), f AS (SELECT *, sum(io) OVER (PARTITION BY doc_id, oc ORDER BY pos) AS ic FROM e),
+g AS (SELECT doc_id, oc, lab, ic, inn, min_by(ws, pos) AS ld, string_agg(CASE WHEN io = 1 THEN '' ELSE ws END || {_ESC.format('tok')}, '' ORDER BY pos) AS x FROM f GROUP BY ALL),
+h AS (SELECT *, CASE inn WHEN 'rolename' THEN '<roleName>' || x || '</roleName>' WHEN 'persname' THEN '<persName>' || x || '</persName>' ELSE x END AS y FROM g), k AS (SELECT doc_id, oc, lab, min_by(ld, ic) AS ld, string_agg(CASE WHEN ic = 1 THEN y ELSE ld || y END, '' ORDER BY ic) AS z FROM h GROUP BY ALL)
+SELECT doc_id, string_agg(ld || CASE lab WHEN 'medic' THEN '<medic>' || z || '</medic>' WHEN 'org' THEN '<orgName>' || z || '</orgName>' ELSE z END, '' ORDER BY oc) AS tagged FROM k GROUP BY doc_id""")
+def nested_tags(spark, d):
+    return K.nested_tags(NESTED.df(spark), {"medic": "medic", "org": "orgName"}, "medic", {"rolename": "roleName", "persname": "persName"})
+
+
+SWAPPED = Literal("doc_id bigint,kind string,original string,pseudo string", (1, "name", "Paul", "Louis"), (1, "name", "Martin", "Petit"), (1, "address", "Lyon", "Lille"), (2, "name", "Paul", "Zoé"))
+
+
+@query("WITH " + _CL + ", v AS (SELECT c.*, coalesce(m.pseudo, c.tok) AS swapped FROM ct c LEFT JOIN " + SWAPPED.sql + " m ON c.doc_id = m.doc_id AND c.tok = m.original), w AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, cluster_no) AS first FROM v), " + f"""
+g AS (SELECT doc_id, cluster_no, lab, min_by(ws, pos) AS ld, string_agg(CASE WHEN pos = first THEN '' ELSE ws END || {_ESC.format('tok')}, '' ORDER BY pos) AS t, string_agg(CASE WHEN pos = first THEN '' ELSE ws END || {_ESC.format('swapped')}, '' ORDER BY pos) AS s FROM w GROUP BY ALL)
+SELECT doc_id, 'demo' AS model, 'annotated' AS variant, string_agg(ld || CASE WHEN {_TAG} IS NULL THEN t ELSE '<' || {_TAG} || '>' || t || '</' || {_TAG} || '>' END, '' ORDER BY cluster_no) AS payload FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, 'demo', 'pseudonymised', string_agg(ld || CASE WHEN {_TAG} IS NULL THEN s ELSE '<' || {_TAG} || '>' || s || '</' || {_TAG} || '>' END, '' ORDER BY cluster_no) FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, 'demo', 'blank', string_agg(ld || t, '' ORDER BY cluster_no) FROM g GROUP BY doc_id""")
+def training_rows(spark, d):
+    return E.training_rows(LABELED.df(spark), SWAPPED.df(spark), TAGS, "demo")
+
+
 ASKED = Literal("doc_id bigint,asked bigint", (1, 0), (1, 9), (1, 33), (1, 40), (2, 5))
 
 
@@ -152,11 +180,12 @@ for _model in FOLDS:
     query(fold_sql(_model))(_fold)
 
 
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in T.MONTHS) + "]"
 HEADERS = Literal("doc_id bigint,doctype string,date string,medics string", (1, None, "7 mars 2019", "Dr A; Dr B;"), (2, "CR", None, None))
 DATELINES = Literal("doc_id bigint,doctype string,place_name string,date string", (1, "Lettre", "Lyon", "8 mars 2019"), (2, "Lettre", "Paris", "01/02/2020"))
 
 
-@query(f"""SELECT h.doc_id, coalesce(h.doctype, l.doctype) AS doctype, coalesce(h.date, l.date) AS date, place_name AS place, CASE coalesce(h.date, l.date) WHEN '7 mars 2019' THEN '2019-03-07' WHEN '01/02/2020' THEN '2020-02-01' END AS iso_date,
+@query(f"""SELECT h.doc_id, coalesce(h.doctype, l.doctype) AS doctype, coalesce(h.date, l.date) AS date, place_name AS place, CASE WHEN regexp_matches(coalesce(h.date, l.date), '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$') THEN strftime(strptime(coalesce(h.date, l.date), '%d/%m/%Y'), '%Y-%m-%d') ELSE split_part(coalesce(h.date, l.date), ' ', 3) || '-' || lpad(CAST(list_position({_MONTHS}, split_part(coalesce(h.date, l.date), ' ', 2)) AS VARCHAR), 2, '0') || '-' || lpad(split_part(coalesce(h.date, l.date), ' ', 1), 2, '0') END AS iso_date,
  array_to_string(list_filter(list_transform(string_split(medics, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS medic_list FROM {HEADERS.sql} h LEFT JOIN {DATELINES.sql} l ON h.doc_id = l.doc_id""")
 def header_enrichment(spark, d):
     return X.enrich_header(HEADERS.df(spark), DATELINES.df(spark)).select("doc_id", "doctype", "date", "place", "iso_date", F.array_join("medic_list", "|").alias("medic_list"))
@@ -313,6 +342,24 @@ def coordinates(spark, d):
     return BOXES.df(spark).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "x", "y", "w", "h"))).alias("b")).select("doc_id", A.coordinates(F.col("b")).alias("coords"))
 
 
+STRING_ROWS = Literal("doc_id bigint,text string", (1, "Docteur Paul MARTIN 0102030405 paul@chu.fr"), (2, "Pr Anne Roux, chef"), (3, "rien"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}|\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]') AS t FROM {STRING_ROWS.sql}), e AS (SELECT doc_id, CAST(generate_subscripts(t, 1) AS BIGINT) AS pos, unnest(t) AS tok FROM w), s AS (SELECT * FROM e WHERE trim(tok) <> ''),
+l AS (SELECT *, CASE WHEN lower(tok) IN ('docteur', 'dr', 'professeur', 'pr', 'chef', 'interne') THEN 'role' WHEN contains(tok, '@') AND length(tok) > 1 THEN 'email' WHEN regexp_matches(tok, '^\\p{{N}}+$') THEN 'phone' WHEN regexp_matches(tok, '^\\p{{Lu}}\\p{{L}}+$') THEN 'pers_name' ELSE 'other' END AS lab FROM s),
+b AS (SELECT *, CASE WHEN lag(lab) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM lab THEN 1 ELSE 0 END AS o FROM l), c AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY pos) AS cl FROM b), g AS (SELECT doc_id, cl, lab, string_agg(tok, ' ' ORDER BY pos) AS x FROM c WHERE lab <> 'other' GROUP BY ALL),
+r AS (SELECT doc_id, string_agg(x, chr(9) ORDER BY cl) FILTER (WHERE lab = 'role') AS role, string_agg(x, '; ' ORDER BY cl) FILTER (WHERE lab = 'pers_name') AS pers_name, string_agg(x, '; ' ORDER BY cl) FILTER (WHERE lab = 'email') AS email, string_agg(x, '; ' ORDER BY cl) FILTER (WHERE lab = 'phone') AS phone FROM g GROUP BY doc_id)
+SELECT doc_id, '<medic>' || {element_sql("roleName", "role")} || {element_sql("persName", "pers_name")} || {element_sql("email", "email")} || {element_sql("phone", "phone")} || '</medic>' AS xml FROM r""")
+def medic_strings(spark, d):
+    return D.string_records(STRING_ROWS.df(spark), "medic")
+
+
+@query()
+def full_documents(spark, d):
+    """Header, body and notes of all documents as XML."""
+    return D.full_documents(table(spark, d, "documents"), stamp="T0")
+
+
 # --- pseudonyms
 
 
@@ -337,9 +384,9 @@ def email_sql(value: str) -> str:
     return f"array_to_string(list_transform(string_split(string_split({value}, '@')[1], '.'), lambda p: {new}), '.') || '@' || string_split({value}, '@')[2]"
 
 
-PERSONAL = Literal("doc_id bigint,kind string,original string", (1, "idno", "AB-12 34"), (1, "name", "Paul MARTIN"), (1, "email", "paul.martin@chu.fr"), (1, "date", "2019-03-07"), (1, "date", "07/03/2019"), (1, "phone", "01 02 03"), (2, "name", "Paul"), (2, "date", "hier"))
+PERSONAL = Literal("doc_id bigint,kind string,original string", (1, "idno", "AB-12 34"), (1, "name", "Paul MARTIN"), (1, "email", "paul.martin@chu.fr"), (1, "date", "2019-03-07"), (1, "date", "07/03/2019"), (1, "phone", "01 02 03"), (2, "name", "Paul"), (2, "date", "hier"), (2, "date", "7 mars 2019"), (2, "date", "1  Août 1999"), (2, "date", "7 mai-juin 2019"))
 _SHIFT = f"CAST(CAST(TRY_CAST(original AS DATE) - CAST({pick_sql('original', "'0'", 3650)} + 1 AS INTEGER) AS DATE) AS VARCHAR)"
-_RAW = rf"CASE WHEN regexp_matches(original, '^(\d{{1,2}})([/.-])(\d{{1,2}})([/.-])(\d{{4}})$') THEN lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '^(\d{{1,2}})([/.-])', 2) || lpad(CAST({pick_sql('original', "'2'", 12)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '([/.-])(\d{{4}})$', 1) || CAST(1920 + {pick_sql('original', "'3'", 100)} AS VARCHAR) ELSE original END"
+_RAW = rf"CASE WHEN regexp_matches(original, '^(\d{{1,2}})([/.-])(\d{{1,2}})([/.-])(\d{{4}})$') THEN lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '^(\d{{1,2}})([/.-])', 2) || lpad(CAST({pick_sql('original', "'2'", 12)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '([/.-])(\d{{4}})$', 1) || CAST(1920 + {pick_sql('original', "'3'", 100)} AS VARCHAR) WHEN lower(regexp_extract(original, '^\d{{1,2}}\s+(\p{{L}}+)\s+\d{{4}}$', 1)) IN ({", ".join(f"'{m}'" for m in T.MONTHS)}) THEN lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '^\d+(\s+)', 1) || {_MONTHS}[{pick_sql('original', "'2'", 12)} + 1] || regexp_extract(original, '(\s+)\d{{4}}$', 1) || CAST(1920 + {pick_sql('original', "'3'", 100)} AS VARCHAR) ELSE original END"
 _PSEUDO = f"CASE kind WHEN 'name' THEN {name_sql('original')} WHEN 'email' THEN {email_sql('original')} WHEN 'date' THEN CASE WHEN regexp_matches(original, '^\\d{{4}}-') THEN {_SHIFT} ELSE {_RAW} END ELSE {number_sql('original')} END"
 
 
@@ -406,7 +453,14 @@ ADDRESSES = Literal("doc_id bigint,address string", (1, "12 rue A 69001 Lyon"),
 CITIES = Literal("post_code string,city string", ("69001", "Lyon"), ("75001", "Paris"), ("13001", "Marseille"), ("00000", "la"), ("59000", "Lille"))
 
 
-@query()
+_DET = ", ".join(f"'{x}'" for x in T.DETERMINERS)
+
+
+@query(rf"""WITH a AS (SELECT *, regexp_extract(address, '(?:^|\D)(\d{{5}})(?:\D|$)', 1) AS code, regexp_extract(address, '^(\d{{2,3}})(?:\D|$)', 1) AS num FROM {ADDRESSES.sql}), p AS (SELECT post_code, min(city) AS city FROM {CITIES.sql} GROUP BY post_code),
+r AS (SELECT city AS new_city, row_number() OVER (ORDER BY city) - 1 AS k FROM (SELECT DISTINCT city FROM {CITIES.sql} WHERE lower(city) NOT IN ({_DET}))),
+j AS (SELECT a.*, coalesce(city, '') AS city, {pick_sql("coalesce(city, '')", "'0'", "(SELECT count(*) FROM r)")} AS k FROM a LEFT JOIN p ON code = post_code), f AS (SELECT j.*, coalesce(new_city, '') AS new_city, {number_sql('code')} AS new_code, {number_sql('num')} AS new_num FROM j LEFT JOIN r ON j.k = r.k),
+w AS (SELECT *, replace(address, CASE WHEN code <> '' THEN code ELSE chr(1) END, new_code) AS w1 FROM f), x AS (SELECT *, replace(w1, CASE WHEN num <> '' THEN num ELSE chr(1) END, new_num) AS w2 FROM w), y AS (SELECT *, replace(w2, CASE WHEN city <> '' THEN city ELSE chr(1) END, new_city) AS w3 FROM x)
+SELECT doc_id, num AS original, new_num AS pseudo FROM y WHERE num <> '' UNION ALL SELECT doc_id, code, new_code FROM y WHERE code <> '' UNION ALL SELECT doc_id, city, new_city FROM y WHERE city <> '' UNION ALL SELECT doc_id, address, w3 FROM y WHERE address <> ''""")
 def mask_addresses(spark, d):
     return S.mask_addresses(ADDRESSES.df(spark), CITIES.df(spark), KEY)
 
@@ -488,9 +542,11 @@ def nested_entities(spark, d):
     return C.nested(C.repair_offsets(ANNOTATED.df(spark), PASSAGES.df(spark))).select("doc_id", "type", "text", "offset", "length", "is_nested")
 
 
-@query("SELECT 1 AS doc_id, 'La <ANAT>main droite</ANAT> &amp; le <ANAT>bras</ANAT>' AS tagged UNION ALL SELECT 2, 'Rien'")
+@query(f"""WITH {_FIX}, n AS (SELECT *, EXISTS (SELECT 1 FROM fx o WHERE o.doc_id = f.doc_id AND o."offset" <= f."offset" AND o."offset" + o.length >= f."offset" + f.length AND o.length > f.length) AS inside FROM fx f),
+ch AS (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM {PASSAGES.sql}), m AS (SELECT ch.doc_id, ch.i, substr(ch.text, CAST(ch.i + 1 AS INTEGER), 1) AS c, n.type, n."offset" = ch.i AS opens, n."offset" + n.length = ch.i + 1 AS closes FROM ch LEFT JOIN n ON n.doc_id = ch.doc_id AND NOT n.inside AND ch.i >= n."offset" AND ch.i < n."offset" + n.length)
+SELECT doc_id, string_agg(CASE WHEN opens THEN '<' || type || '>' ELSE '' END || {_ESC.format('c')} || CASE WHEN closes THEN '</' || type || '>' ELSE '' END, '' ORDER BY i) AS tagged FROM m GROUP BY doc_id""")
 def inline_annotate(spark, d):
-    return C.annotate_inline(PASSAGES.df(spark), C.repair_offsets(ANNOTATED.df(spark), PASSAGES.df(spark))).select(F.col("doc_id").cast("int").alias("doc_id"), "tagged")
+    return C.annotate_inline(PASSAGES.df(spark), C.repair_offsets(ANNOTATED.df(spark), PASSAGES.df(spark)))
 
 
 @query(f"SELECT DISTINCT type, text FROM {ANNOTATED.sql}")

@@ -133,9 +133,19 @@ def string_functions(spark, d):
 _SCORES = ", ".join(f"CAST(len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in stop)}))) AS BIGINT) AS {lang}" for lang, stop in T.STOP_WORDS.items())
 
 
-@query(rf"SELECT doc_id, {_SCORES}, 'fr' AS lang FROM (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 200)), '[^\p{{L}}]+') AS w FROM documents)")
+@query(rf"WITH s AS (SELECT doc_id, {_SCORES} FROM (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 200)), '[^\p{{L}}]+') AS w FROM documents)) SELECT *, CASE WHEN greatest(en, fr, de, es) = 0 THEN 'und' WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS lang_detected, 'fr' AS lang FROM s")
 def lang_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.language_scores(F.col("text")).alias("s")).select("doc_id", "s.*", F.lit("fr").alias("lang"))
+    """Both the detected language and the one that documents are handled in."""
+    rows = table(spark, d, "documents").select("doc_id", T.language_scores(F.col("text")).alias("s"))
+    return rows.select("doc_id", "s.*", T.detected_language(F.col("s")).alias("lang_detected"), F.lit("fr").alias("lang"))
+
+
+COMPOSED = Literal("id bigint,text string", (1, "He\u0301le\u0300ne"), (2, "Hélène"), (3, "a\u0308 o\u0327"), (4, ""), (5, None))
+
+
+@query(f"SELECT id, nfc_normalize(text) AS text FROM {COMPOSED.sql}")
+def unicode_composition(spark, d):
+    return COMPOSED.df(spark).select("id", T.nfc(F.col("text")).alias("text"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '(?s).+?(?:[.!?]+\s+|$)') AS t FROM documents), e AS (SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS sentence FROM s)
@@ -148,6 +158,31 @@ def sentences(spark, d):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", F.coalesce(F.sum(F.length("sentence")).over(w), F.lit(0)).cast("long").alias("char_offset"))
 
 
+QUOTED = Literal("doc_id bigint,text string", (1, "Voir (fig. 2. La suite) ici. Fin de ligne! [1. 2. 3] reste. Ok"), (2, "Rien. Encore."), (3, "Un (b. c) d. (e. f) g"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?]+\s+|$)') AS t FROM """ + QUOTED.sql + r"""), e AS (SELECT doc_id, text, CAST(generate_subscripts(t, 1) AS BIGINT) AS pos, unnest(t) AS sentence FROM s),
+o AS (SELECT *, CAST(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS fin FROM e),
+x AS (SELECT *, fin - length(sentence) AS start, length(regexp_replace(substr(text, 1, CAST(fin - length(sentence) AS INTEGER)), '[(\[][^)\]]*[)\]]', '', 'g')) AS bare FROM o),
+j AS (SELECT *, regexp_matches(substr(text, 1, CAST(start AS INTEGER)), '[(\[][^)\]]*$') AS inside FROM x),
+g AS (SELECT *, sum(CAST(NOT inside AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM j) SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(fin) AS BIGINT) AS "end" FROM g GROUP BY doc_id, g""")
+def sentences_outside_spans(spark, d):
+    """Sentences of texts whose brackets hold no border: the spans come from a pattern, and sentences that meet in one are joined."""
+    from pyspark.sql import Window
+
+    from ..operators.evaluation import merge_sentences
+
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(pieces):
+        rows = QUOTED.df(spark).select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
+        start = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long")
+        return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("piece"))
+
+    spans = placed(F.regexp_extract_all("text", F.lit(r"[(\[][^)\]]*[)\]]|[^(\[]+|."), 0)).where(F.col("piece").rlike(r"^[(\[]"))
+    return merge_sentences(placed(T.sentences(F.col("text"))).select("doc_id", "start", "end"), spans.select("doc_id", "start", "end"))
+
+
 DATES = Literal("id bigint,y bigint,m bigint,d bigint,raw string", (1, 2019, 3, 7, "07/03/2019"), (2, 2019, -1, 7, "7-3-2019"), (3, 812, 12, -1, "07.03.2019"), (4, -1, 2, 3, "7 mars 2019"), (5, 1999, 12, 31, "1er août 1999"), (6, 2000, 2, 30, "30/02/2000"), (7, 2020, 1, 1, "2020-01-05"), (8, 2021, 1, -1, "hier"), (9, 2021, 5, 5, "07/03/19"))
 _M = "[" + ", ".join(f"'{m}'" for m in T.MONTHS) + "]"
 
@@ -338,17 +373,43 @@ def _register_vectors() -> None:
         query(vector_sql(model))(run)
 
 
-def vector_sql(model: str) -> str:
+def vector_sql(model: str, swap: str = "", lexicon: bool = False) -> str:
     names = {
         "tok": "tok", "low": "lower(tok)", **{f"p{n}": f"left(lower(tok), {n})" for n in range(1, 6)}, **{f"s{n}": f"right(lower(tok), {n})" for n in range(1, 6)}, "caps": "caps", "digit": "digit", "single": "single", "punct": "punct", "shape": "shape", "trimmed": "trimmed",
         "year": "year", "month": "month", "email": "email", "http": "http", "line": "ls", "block": "bs", "position": "rp",
     }
     tokens = TOKENS.replace("FROM documents", "FROM (SELECT item_id AS doc_id, text FROM benchmark)")
+    if swap:
+        tokens = tokens.replace("tk AS (SELECT *", "tk0 AS (SELECT *") + f", tk AS (SELECT t.doc_id, t.pos, coalesce(m.pseudo, t.tok) AS tok, t.char_offset FROM tk0 t LEFT JOIN {swap} m ON t.doc_id = m.doc_id AND t.tok = m.original)"
+        tokens = tokens.replace("FROM tk WHERE", "FROM tk0 WHERE")
     cols = ", ".join(names[c] for c in VECTORS[model])
+    source = "st"
+    if lexicon:
+        tokens += f", {LEX_SQL}"
+        cols += ", " + ", ".join(f"is_{c}" for c in gazetteer.CLASSES)
+        source = f"(SELECT s.*, {', '.join(f'(SELECT CAST(count(*) > 0 AS INTEGER) FROM lx l WHERE l.term_lower = lower(s.tok) AND l.class = {chr(39)}{c}{chr(39)}) AS is_{c}' for c in gazetteer.CLASSES)} FROM st s)"
     return rf"""WITH {tokens}, nl AS (SELECT *, sum(CASE WHEN tok IN (chr(10), chr(13)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS l, sum(length(tok)) OVER (PARTITION BY doc_id) AS total FROM tk),
 so AS (SELECT * FROM nl WHERE NOT regexp_matches(tok, '^\s$')),
 st AS (SELECT *, CASE WHEN row_number() OVER a = 1 THEN 'LINESTART' WHEN lead(1) OVER a IS NULL THEN 'LINEEND' ELSE 'LINEIN' END AS ls, CASE WHEN row_number() OVER b = 1 THEN 'BLOCKSTART' WHEN lead(1) OVER b IS NULL THEN 'BLOCKEND' ELSE 'BLOCKIN' END AS bs, CAST(least(floor(char_offset * 12 / greatest(total, 1)), 11) AS BIGINT) AS rp FROM so WINDOW a AS (PARTITION BY doc_id, l ORDER BY pos), b AS (PARTITION BY doc_id ORDER BY pos)),
-u AS (SELECT *, {_LEXICAL} FROM st) SELECT doc_id, pos, concat_ws(' ', {cols}) AS features FROM u"""
+u AS (SELECT *, {_LEXICAL} FROM {source}) SELECT doc_id, pos, concat_ws(' ', {cols}) AS features FROM u"""
 
 
 _register_vectors()
+
+
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+@query(vector_sql("ner", lexicon=True))
+def vector_lexicon_flags(spark, d):
+    return vector(_items(spark, d), "ner", lex=gazetteer.lexicon(LEX.df(spark)))
+
+
+SWAPS = Literal("doc_id bigint,kind string,original string,pseudo string", *((i, "name", o, p) for i in range(0, 40) for o, p in (("the", "Eht"), ("of", "F0"), ("in", "NI"), ("and", "xand"))))
+
+
+@query(vector_sql("medic", swap=SWAPS.sql))
+def vector_pseudonymised(spark, d):
+    """Tokens are swapped before features are derived, so that no feature shows the original."""
+    return vector(_items(spark, d), "medic", replaced=SWAPS.df(spark))

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import re
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -100,6 +101,51 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), sep=";", header=True).first()["Raw_Text"] == "a,b c"
 
 
+def test_commands(spark, tmp_path):
+    """Every command and call runs over whole texts; XML parses, and null and blank texts don't break one."""
+    from docloom import commands
+
+    docs = spark.createDataFrame([(1, "Compte rendu\nDocteur Paul Martin\npaul@chu.fr 0102030405\n1 Motif\nUn texte <court>.\n- item\n1.2 Suite\nFin le 07/03/2019"), (2, None), (3, " \n"), (4, "Lyon")], "doc_id long, text string")
+    for name, run in (commands.COMMANDS | commands.CALLS).items():
+        rows = run(docs).collect()
+        assert rows, name
+        for r in rows:
+            if "xml" in r:
+                ET.fromstring(r["xml"])
+    xml = {r["doc_id"]: r["xml"] for r in commands.COMMANDS["processFullText"](docs).collect()}
+    assert "<title level=\"a\" type=\"main\">Compte rendu</title>" in xml[1] and '<head level="1" n="1">Motif</head>' in xml[1] and "<item>" in xml[1] and set(xml) == {1, 4}
+    tagged = {r["doc_id"]: r["payload"] for r in commands.COMMANDS["createTrainingAnonym"](docs).collect()}
+    assert not {"Compte", "Docteur", "Paul", "Motif", "Suite", "Fin", "0102030405", "paul"} & set(re.findall(r"\w+", tagged[1])) and "<persname>" in tagged[1]
+    blank = {r["doc_id"]: r["payload"] for r in commands.COMMANDS["createTrainingBlank"](docs).collect()}
+    marked = {r["doc_id"]: r["payload"] for r in commands.COMMANDS["createTraining"](docs).collect()}
+    text = lambda x: "".join(ET.fromstring(f"<r>{x}</r>").itertext())
+    assert text(blank[1]) == text(marked[1]) == docs.first()["text"]
+    assert commands.CALLS["processMedic"](docs.where("doc_id = 1")).first()["xml"].startswith("<medic><roleName>Docteur</roleName>")
+
+
+def test_entry_works_without_the_training_data_folders(tmp_path):
+    """A copy of the repository without these files imports and lists its other queries; another import error is not hidden."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = tmp_path / "copy"
+    shutil.copytree(root, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=to, check=True, env={**os.environ, "PYTHONPATH": str(to)})
+    (to / "docloom" / "llm").mkdir()
+    (to / "docloom" / "llm" / "__init__.py").write_text("")
+    (to / "docloom" / "llm" / "queries.py").write_text("import a_module_that_is_missing\n")
+    assert subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=to, capture_output=True, env={**os.environ, "PYTHONPATH": str(to)}).returncode
+
+
+def test_tag_tables(spark):
+    tagged = spark.createDataFrame([(1, "<tei><medic><roleName>Dr</roleName> <persName>Paul Martin</persName></medic> vient</tei>")], "doc_id long, xml string")
+    rows = [(r["tok"], r["label"]) for r in corpus.read_tagged(tagged, corpus.tag_table("medic")).orderBy("pos").collect()]
+    assert rows == [("Dr", "I-rolename"), ("Paul", "I-persname"), ("Martin", "persname"), ("vient", "other")]
+
+
 def test_streaming_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("Paul 123456")
