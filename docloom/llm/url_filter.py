@@ -137,8 +137,9 @@ def fit_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
         for r in counts:
             stats[r[kind], place] = (r["bad"] + PRIOR * rate) / (r["n"] + PRIOR)
     seen = rows.groupBy("suffix").count().collect()
+    every = sum(r["count"] for r in seen)
     for r in seen:
-        stats[r["suffix"], 1] = r["count"] / sum(x["count"] for x in seen)
+        stats[r["suffix"], 1] = r["count"] / every
     share = min(1.0, sample / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("page_id", F.lit("urls")), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("page_id", "url").toPandas()
     x = _features(picked["url"].tolist(), picked["host"].tolist(), picked["path"].tolist(), picked["suffix"].to_numpy(int), picked["site"].to_numpy(int), stats)
