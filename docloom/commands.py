@@ -24,7 +24,7 @@ ENTITY_TAGS = {name: name for name, _ in K.RULES}
 
 
 def entity_tokens(docs: DataFrame) -> DataFrame:
-    return K.label_by_rules(K.with_white_space(K.explode_tokens(docs)))
+    return K.label_by_rules(K.spaced_tokens(docs))
 
 
 def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: An email stays one token; else runs of letters, runs of digits, and every other character alone, white space included.
-TOKEN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\p{L}+|\p{N}+|[^\p{L}\p{N}]"
-PLAIN_TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}]"
+#: Possessive runs (``++``) match the same and never step back: what follows a run is no character of it.
+TOKEN = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\p{L}++|\p{N}++|[^\p{L}\p{N}]"
+PLAIN_TOKEN = r"\p{L}++|\p{N}++|[^\p{L}\p{N}]"
 MARKERS = r"@IMAGE|@PAGE|\.(pbm|ppm|png|svg|jpg)"
 DETERMINERS = ("le", "la", "les", "l", "un", "une", "des", "du", "de", "d", "au", "aux", "ce", "cet", "cette", "ces", "mon", "ma", "mes", "son", "sa", "ses", "notre", "nos", "votre", "vos", "leur", "leurs")
 STOP_WORDS = {

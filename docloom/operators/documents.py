@@ -27,7 +27,7 @@ LABELLERS = {
 
 def labelled(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, pos, ws, tok, char_offset, label) of strings by the rules of a model."""
-    return K.label_by_rules(K.with_white_space(K.explode_tokens(docs, STRING_TOKEN)), LABELLERS[model])
+    return K.label_by_rules(K.spaced_tokens(docs, STRING_TOKEN), LABELLERS[model])
 
 
 def string_records(docs: DataFrame, model: str) -> DataFrame:

@@ -125,6 +125,6 @@ def body_entities(docs: DataFrame) -> DataFrame:
     """Entities of each line of the text on its own, with offsets into the line."""
     from .tokens import entities
 
-    rows = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "text")).where("trim(text) <> ''")
+    rows = docs.select("doc_id", F.posexplode_outer(T.lines(F.col("text"))).alias("line_no", "text")).where("trim(text) <> ''")
     keyed = rows.select(F.struct("doc_id", "line_no").alias("doc_id"), "text")
     return entities(keyed).select("doc_id.doc_id", F.col("doc_id.line_no").cast("long").alias("line_no"), "type", "offset_start", "offset_end", "raw_name")

@@ -71,7 +71,7 @@ def email_url_spans(docs: DataFrame) -> DataFrame:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"(?:https?://|www\.)[^\s<>\"]+"}
     found = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
     each = [found(k, p) for k, p in kinds.items()]
-    return docs.select("doc_id", F.explode(F.concat(*each)).alias("e")).select("doc_id", "e.kind", "e.found")
+    return docs.select("doc_id", F.explode_outer(F.concat(*each)).alias("e")).where("e is not null").select("doc_id", "e.kind", "e.found")
 
 
 def lexicon_from_corpus(corpus: DataFrame) -> DataFrame:

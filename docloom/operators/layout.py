@@ -16,7 +16,8 @@ POSITION_BINS, SPACING_BINS, DENSITY_BINS, LENGTH_BINS = 12, 5, 5, 10
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, block_no, page): lines by LF or CR; blocks end at empty lines, pages after a fixed number of lines."""
-    rows = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
+    # Texts are dealt before they are cut, as for tokens; lines of null texts go with the blank ones.
+    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode_outer(T.lines(F.col("text"))).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     block = F.sum((F.trim("line") == "").cast("int")).over(w)
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", block.cast("long").alias("block_no"), F.floor(F.col("line_no") / PAGE_LINES).cast("long").alias("page")).where("trim(line) <> ''")

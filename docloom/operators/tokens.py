@@ -19,11 +19,13 @@ RULES = (
 def explode_tokens(docs: DataFrame, pattern: str = T.TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, tok, char_offset): all tokens, white space included. Null and empty texts have none.
 
-    Offsets are running sums in one window by document, whose distribution later windows by document reuse.
+    Whole texts are dealt by document before they are cut: a text is several times smaller than its token rows. Offsets are
+    running sums in a window by document, which that distribution serves, as it does all later windows by document.
     """
-    toks = T.tokenize(F.col(text_col), pattern)
-    held = docs.select(F.col(id_col).alias("doc_id"), toks.alias("toks"))
-    out = held.select("doc_id", F.posexplode("toks").alias("pos", "tok"))
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    held = dealt.select("doc_id", T.tokenize(F.col("text"), pattern).alias("toks"))
+    # The outer form keeps the optimizer from testing the array's size on the texts first, which would cut each text twice more.
+    out = held.select("doc_id", F.posexplode_outer("toks").alias("pos", "tok")).where("pos is not null")
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("char_offset", F.coalesce(F.sum(F.length("tok")).over(w), F.lit(0)).cast("long"))
 
@@ -44,11 +46,15 @@ def cluster(labeled: DataFrame, keys: tuple[str, ...] = ("doc_id",), order: str
     return labeled.withColumn("cluster_no", F.sum(opens.cast("int")).over(w).cast("long")).withColumn("label", plain)
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, type, offset_start, offset_end, raw_name) of all runs that have a label, over the rule labeller."""
+def entity_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, type, offset_start, offset_end) of all runs that have a label, over the rule labeller."""
     runs = cluster(label_by_rules(explode_tokens(docs))).where("label <> 'other'")
-    spans = runs.groupBy("doc_id", "cluster_no", F.col("label").alias("type")).agg(F.min("char_offset").alias("offset_start"), F.max(F.col("char_offset") + F.length("tok")).alias("offset_end"))
-    named = spans.join(docs.select("doc_id", "text"), "doc_id")
+    return runs.groupBy("doc_id", "cluster_no", F.col("label").alias("type")).agg(F.min("char_offset").alias("offset_start"), F.max(F.col("char_offset") + F.length("tok")).alias("offset_end")).drop("cluster_no")
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(doc_id, type, offset_start, offset_end, raw_name) of all runs that have a label."""
+    named = entity_spans(docs).join(docs.select("doc_id", "text"), "doc_id")
     return named.select("doc_id", "type", F.col("offset_start").cast("long").alias("offset_start"), F.col("offset_end").cast("long").alias("offset_end"), F.substr("text", F.col("offset_start").cast("int") + 1, (F.col("offset_end") - F.col("offset_start")).cast("int")).alias("raw_name"))
 
 
@@ -101,8 +107,15 @@ def nested_tags(labeled: DataFrame, tag_of: dict[str, str], inside: str, inner_t
     return whole.groupBy("doc_id").agg(ordered_join(piece, F.col("outer_no"), "").alias("tagged"))
 
 
+def spaced_tokens(docs: DataFrame, pattern: str = T.TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, ws, tok, char_offset): tokens that aren't blank, each with the white space before it, cut in one pass. White space at the end of a text is left out."""
+    pieces = explode_tokens(docs, rf"\s*+(?:{pattern})", id_col, text_col)
+    ws = F.regexp_extract("tok", r"^(\s*)", 1)
+    return pieces.withColumn("ws", ws).select("doc_id", "pos", "ws", F.substr("tok", F.length("ws") + 1).alias("tok"), (F.col("char_offset") + F.length("ws")).alias("char_offset"))
+
+
 def with_white_space(tokens: DataFrame) -> DataFrame:
-    """Drop blank tokens; ``ws`` of each other token is the white space before it."""
+    """Drop blank tokens of a token table; ``ws`` of each other token is the white space before it. From texts, :func:`spaced_tokens` is cheaper."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     blank = F.col("tok").rlike(r"^\s$")
     # the run of blanks before a token belongs to it

@@ -59,7 +59,7 @@ def inline_tags(spark, d):
 @query(f"""WITH {TOKENS}, {LABEL}, f AS (SELECT doc_id, cluster_no, label, min(char_offset) AS a, max(char_offset + length(tok)) AS b FROM cl GROUP BY ALL), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY cluster_no), 0) AS prev FROM f)
 SELECT doc_id, md5(string_agg(substr(text, CAST(prev + 1 AS BIGINT), CAST(a - prev AS BIGINT)) || CASE WHEN label = 'other' THEN s ELSE '<' || label || '>' || s || '</' || label || '>' END, '' ORDER BY cluster_no)) AS tagged FROM (SELECT p.*, text, {_ESC.format("substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))")} AS s FROM p JOIN documents USING (doc_id)) GROUP BY doc_id""")
 def tagged_documents(spark, d):
-    toks = K.with_white_space(K.explode_tokens(table(spark, d, "documents")))
+    toks = K.spaced_tokens(table(spark, d, "documents"))
     tags = {"email": "email", "idno": "idno", "value": "value", "persname": "persname"}
     return K.inline_tags(K.label_by_rules(toks), tags).select("doc_id", F.md5("tagged").alias("tagged"))
 

@@ -79,7 +79,7 @@ def tokens_delim(spark, d):
 
 @query(r"SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS tok FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents)")
 def tokens_ws(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.white_tokens(F.col("text"))).alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode_outer(T.white_tokens(F.col("text"))).alias("pos", "tok")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, line, block_no, page FROM ln")
@@ -154,7 +154,8 @@ def sentences(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    dealt = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = dealt.select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "sentence")).where("pos is not null")
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", F.coalesce(F.sum(F.length("sentence")).over(w), F.lit(0)).cast("long").alias("char_offset"))
 
 
@@ -221,7 +222,7 @@ def entities(spark, d):
 
 @query(f"WITH {TOKENS}, {LABEL} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM en GROUP BY type")
 def entities_by_type(spark, d):
-    return K.entities(table(spark, d, "documents")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return K.entity_spans(table(spark, d, "documents")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, offset_start, '{{"rawName":"' || raw_name || '","type":"' || type || '","offsetStart":' || offset_start || ',"offsetEnd":' || offset_end || '}}' AS json FROM en WHERE type = 'email'""")

@@ -55,6 +55,12 @@ def test_tokens_give_the_text_back(spark):
     assert docs.join(back, "doc_id").where("text <> back").count() == 0
 
 
+def test_spaced_tokens_are_those_of_the_token_table(spark):
+    docs = spark.createDataFrame([(1, "  Le  patient\n\tva bien .  "), (2, ""), (3, None), (4, " \n "), (5, "a@b.fr,12")], "doc_id long, text string")
+    pick = lambda df: sorted((r["doc_id"], r["char_offset"], r["ws"], r["tok"]) for r in df.collect())
+    assert pick(K.spaced_tokens(docs)) == pick(K.with_white_space(K.explode_tokens(docs))) != []
+
+
 def test_no_original_survives(spark):
     docs = spark.createDataFrame([(1, "Paul Martin et PAUL, Paula; le Dr Martin au 0102"), (2, "Rien")], "doc_id long, text string")
     pairs = spark.createDataFrame([(1, "name", "Paul Martin", "Louis Petit"), (1, "name", "Paul", "Louis"), (1, "name", "Martin", "Petit"), (1, "phone", "0102", "9876")], "doc_id long, kind string, original string, pseudo string")
