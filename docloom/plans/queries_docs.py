@@ -228,7 +228,7 @@ def person_dedup(spark, d):
 
 @query(f"""WITH {TOKENS}, {LABEL}, o AS (SELECT doc_id, offset_start, offset_end, min_by(struct_pack(t := type, r := raw_name), type) AS e FROM en WHERE type IN ('idno', 'value', 'email') GROUP BY ALL) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY offset_start, offset_end) AS BIGINT) AS entity_no, offset_start, offset_end, e.t AS type, e.r AS raw_name FROM o""")
 def entity_order(spark, d):
-    return X.ordered_entities(K.entities(table(spark, d, "documents")).where(F.col("type").isin("idno", "value", "email")))
+    return X.ordered_entities(K.entities(table(spark, d, "documents")))
 
 
 def _by_line(sql: str) -> str:
@@ -237,7 +237,7 @@ def _by_line(sql: str) -> str:
 
 @query(f"""WITH {LINES}, ldocs AS (SELECT doc_id * 1000000 + line_no AS doc_id, line AS text FROM el WHERE trim(line) <> ''), {_by_line(TOKENS)}, {_by_line(LABEL)} SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS line_no, type, offset_start, offset_end, raw_name FROM en WHERE type <> 'persname'""")
 def body_entities(spark, d):
-    return X.body_entities(table(spark, d, "documents")).where("type <> 'persname'")
+    return X.body_entities(table(spark, d, "documents"))
 
 
 # --- XML
@@ -331,7 +331,7 @@ def element_ids(spark, d):
 
 @query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, '<entities>' || string_agg('<entity type="' || type || '" start="' || offset_start || '" end="' || offset_end || '">' || {_ESC.format('raw_name')} || '</entity>', '' ORDER BY offset_start) || '</entities>' AS xml FROM en WHERE type <> 'persname' GROUP BY doc_id""")
 def entities_xml(spark, d):
-    return A.entities_xml(K.entities(table(spark, d, "documents")).where("type <> 'persname'"))
+    return A.entities_xml(K.entities(table(spark, d, "documents")))
 
 
 BOXES = Literal("doc_id bigint,page bigint,x double,y double,w double,h double", (1, 1, 10.0, 20.5, 30.25, 4.0), (1, 2, 1.5, 2.5, 3.5, 4.5))

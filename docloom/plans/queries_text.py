@@ -227,7 +227,7 @@ def entities_by_type(spark, d):
 
 @query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, offset_start, '{{"rawName":"' || raw_name || '","type":"' || type || '","offsetStart":' || offset_start || ',"offsetEnd":' || offset_end || '}}' AS json FROM en WHERE type = 'email'""")
 def entity_text_json(spark, d):
-    return K.entities(table(spark, d, "documents")).where("type = 'email'").select("doc_id", "offset_start", entity_json().alias("json"))
+    return K.entities(table(spark, d, "documents")).select("doc_id", "offset_start", entity_json().alias("json"))
 
 
 _MEMBER = ", ".join(f"CAST(max(CASE WHEN l.class = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS is_{c}" for c in gazetteer.CLASSES)

@@ -158,3 +158,25 @@ def test_streaming_files(spark, tmp_path):
     q = run_batches(stream_texts(spark, str(tmp_path / "in")), K.entities, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(r["type"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["idno", "persname"]
+
+
+def test_entity_queries_return_every_type(spark, duck):
+    """Names too, from the rows of the SQL of ``entities``, which has all types."""
+    import json
+
+    rows = list(duck.execute(f"SELECT doc_id, offset_start, offset_end, type, raw_name FROM ({SQL['entities']}) ORDER BY ALL").fetchall())
+    assert {r[3] for r in rows} == {"email", "idno", "value", "persname"}
+    assert sorted(tuple(r[c] for c in ("doc_id", "offset_start", "offset_end", "type", "raw_name")) for r in QUERIES["entity_order"](spark, SF).collect()) == rows
+    got = [(r["doc_id"], r["offset_start"], json.loads(r["json"])) for r in QUERIES["entity_text_json"](spark, SF).collect()]
+    assert sorted((d, a, j["offsetEnd"], j["type"], j["rawName"]) for d, a, j in got) == rows
+    xml = [(r["doc_id"], e) for r in QUERIES["entities_xml"](spark, SF).collect() for e in ET.fromstring(r["xml"])]
+    assert sorted((d, int(e.get("start")), int(e.get("end")), e.get("type")) for d, e in xml) == [r[:4] for r in rows]
+
+
+def test_body_entities_return_every_type(spark, tmp_path):
+    lines = {(1, 0): "Paul Martin vient", (1, 2): "le 0102030405 a@b.fr", (2, 0): "Anne 12"}
+    spark.createDataFrame([(1, "Paul Martin vient\n\nle 0102030405 a@b.fr"), (2, "Anne 12"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(1, 0, "persname", "Paul Martin"), (1, 2, "idno", "0102030405"), (1, 2, "email", "a@b.fr"), (2, 0, "persname", "Anne"), (2, 0, "value", "12")}
+    got = QUERIES["body_entities"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["line_no"], r["type"], r["raw_name"]) for r in got} == want
+    assert all(lines[r["doc_id"], r["line_no"]][r["offset_start"] : r["offset_end"]] == r["raw_name"] for r in got)
