@@ -364,11 +364,11 @@ def segmenter_vector(spark, d):
 
 
 def _register_vectors() -> None:
-    """One query a model over the passages of ``benchmark``: item lines are lines, each passage one block."""
+    """One query a model over ``documents``: text lines are lines, each text one block."""
     for model in VECTORS:
 
         def run(spark, d, model=model):
-            return vector(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), model)
+            return vector(table(spark, d, "documents"), model)
 
         run.__name__ = f"vector_{model}"
         query(vector_sql(model))(run)
@@ -398,13 +398,9 @@ u AS (SELECT *, {_LEXICAL} FROM {source}) SELECT doc_id, pos, concat_ws(' ', {co
 _register_vectors()
 
 
-def _items(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-
-
 @query(vector_sql("ner", lexicon=True))
 def vector_lexicon_flags(spark, d):
-    return vector(_items(spark, d), "ner", lex=gazetteer.lexicon(LEX.df(spark)))
+    return vector(table(spark, d, "documents"), "ner", lex=gazetteer.lexicon(LEX.df(spark)))
 
 
 SWAPS = Literal("doc_id bigint,kind string,original string,pseudo string", *((i, "name", o, p) for i in range(0, 40) for o, p in (("the", "Eht"), ("of", "F0"), ("in", "NI"), ("and", "xand"))))
@@ -413,4 +409,4 @@ SWAPS = Literal("doc_id bigint,kind string,original string,pseudo string", *((i,
 @query(vector_sql("medic", swap=SWAPS.sql))
 def vector_pseudonymised(spark, d):
     """Tokens are swapped before features are derived, so that no feature shows the original."""
-    return vector(_items(spark, d), "medic", replaced=SWAPS.df(spark))
+    return vector(table(spark, d, "documents"), "medic", replaced=SWAPS.df(spark))

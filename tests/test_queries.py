@@ -180,3 +180,20 @@ def test_body_entities_return_every_type(spark, tmp_path):
     got = QUERIES["body_entities"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["line_no"], r["type"], r["raw_name"]) for r in got} == want
     assert all(lines[r["doc_id"], r["line_no"]][r["offset_start"] : r["offset_end"]] == r["raw_name"] for r in got)
+
+
+def test_vectors_cover_the_documents(spark, tmp_path):
+    """One row for each token of ``documents`` that isn't blank; statuses and positions are those of the whole text."""
+    import regex
+
+    texts = {1: "Le Dr Paul\n\nvient le 07/03/2019.", 2: "mot " * 3000 + "fin", 3: None, 4: " \n", 500: "the end", 501: "the end"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(d, pos): m.group() for d, t in texts.items() for pos, m in enumerate(regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\p{L}+|\p{N}+|[^\p{L}\p{N}]", t or "")) if m.group().strip()}
+    for name in sorted(n for n in QUERIES if n.startswith("vector_")):
+        got = {(r["doc_id"], r["pos"]): r["features"].split(" ") for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert set(got) == set(want), name
+        if name != "vector_pseudonymised":
+            assert all(got[k][0] == w for k, w in want.items()), name
+        if name == "vector_full_text":
+            assert [got[2, p][11] for p in (0, 2, 6000)] == ["BLOCKSTART", "BLOCKIN", "BLOCKEND"]
+            assert [got[2, p][-1] for p in (0, 3000, 6000)] == ["0", "5", "11"]
