@@ -27,15 +27,19 @@ def entity_tokens(docs: DataFrame) -> DataFrame:
     return K.label_by_rules(K.spaced_tokens(docs))
 
 
-def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The map (doc_id, kind, original, pseudo) of the personal data that the entity labeller finds. ``key`` has to be secret for real data."""
+def pairs(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(doc_id, kind, original, pseudo) of the personal data that the entity labeller finds, each once a document. ``key`` has to be secret for real data."""
     kinds = {"persname": "name", "idno": "idno", "email": "email"}
     kind = F.lit(None).cast("string")
     for label, name in kinds.items():
         kind = F.when(F.col("type") == label, name).otherwise(kind)
     found = K.entities(docs).select("doc_id", kind.alias("kind"), T.normalize_space(F.col("raw_name")).alias("original")).where("kind is not null").distinct()
-    pairs = found.withColumn("pseudo", S.pseudo(F.col("kind"), F.col("original"), key))
-    return S.pseudonym_map(S.components(pairs))
+    return found.withColumn("pseudo", S.pseudo(F.col("kind"), F.col("original"), key))
+
+
+def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The map (doc_id, kind, original, pseudo) of :func:`pairs` and their parts."""
+    return S.pseudonym_map(S.components(pairs(docs, key)))
 
 
 def _training(docs: DataFrame, variant: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import commands
 from ..functions import pseudonym as P
 from ..functions import text as T
 from ..operators import assembly as A
@@ -26,6 +27,13 @@ LABELED = Literal(
     "doc_id bigint,pos bigint,char_offset bigint,ws string,tok string,label string",
     (1, 0, 0, "", "Docteur", "I-title"), (1, 1, 8, " ", "Paul", "I-persname"), (1, 2, 13, " ", "Martin", "persname"), (1, 3, 19, "", ",", "other"), (1, 4, 21, " ", "Anne", "I-persname"), (1, 5, 26, " ", "<Roux>", "I-persname"), (1, 6, 33, "\n", "Lyon", "settlement"), (1, 7, 38, " ", "1", "marker"), (1, 8, 39, "", "er", "settlement"), (2, 0, 0, "", "Rien", "other"), (2, 1, 5, " ", "ici", "other"),
 )
+
+
+def labelled(spark, d):
+    """Tokens of all documents with the labels of the entity rules."""
+    return commands.entity_tokens(table(spark, d, "documents"))
+
+
 _CL = f"""lt AS (SELECT * FROM {LABELED.sql}), pl AS (SELECT *, regexp_replace(label, '^I-', '') AS lab FROM lt),
 ct AS (SELECT *, CAST(sum(CASE WHEN starts_with(label, 'I-') OR p IS NULL OR p <> lab THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS cluster_no FROM (SELECT *, lag(lab) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM pl))"""
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
@@ -33,12 +41,12 @@ _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'),
 
 @query(f"WITH {_CL} SELECT doc_id, cluster_no, lab AS label, string_agg(tok, ' ' ORDER BY pos) AS text FROM ct GROUP BY ALL")
 def clusters(spark, d):
-    return K.cluster(LABELED.df(spark)).groupBy("doc_id", "cluster_no", "label").agg(K.ordered_join("tok", "pos", " ").alias("text"))
+    return K.cluster(labelled(spark, d)).groupBy("doc_id", "cluster_no", "label").agg(K.ordered_join("tok", "pos", " ").alias("text"))
 
 
 @query(f"WITH {_CL} SELECT doc_id, lab AS label, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM ct GROUP BY ALL")
 def label_map(spark, d):
-    return K.label_map(K.cluster(LABELED.df(spark)))
+    return K.label_map(K.cluster(labelled(spark, d)))
 
 
 @query(f"WITH {_CL}, m AS (SELECT 'demo' AS model, lab AS label FROM ct) SELECT model, label, count(*) AS n FROM m GROUP BY ROLLUP (model, label)")
@@ -53,7 +61,7 @@ _TAG = "CASE lab " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TAGS.items())
 @query(f"""WITH {_CL}, g AS (SELECT doc_id, cluster_no, lab, min_by(ws, pos) AS ld, string_agg(CASE WHEN pos = first THEN '' ELSE ws END || {_ESC.format('tok')}, '' ORDER BY pos) AS t FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, cluster_no) AS first FROM ct) GROUP BY ALL)
 SELECT doc_id, string_agg(ld || CASE WHEN {_TAG} IS NULL THEN t ELSE '<' || {_TAG} || '>' || t || '</' || {_TAG} || '>' END, '' ORDER BY cluster_no) AS tagged FROM g GROUP BY doc_id""")
 def inline_tags(spark, d):
-    return K.inline_tags(LABELED.df(spark), TAGS)
+    return K.inline_tags(labelled(spark, d), TAGS)
 
 
 @query(f"""WITH {TOKENS}, {LABEL}, f AS (SELECT doc_id, cluster_no, label, min(char_offset) AS a, max(char_offset + length(tok)) AS b FROM cl GROUP BY ALL), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY cluster_no), 0) AS prev FROM f)
@@ -73,7 +81,7 @@ def token_chunks(spark, d):
 @query(f"""WITH t AS (SELECT *, label IN ('settlement') AS w FROM {LABELED.sql} WHERE label <> 'marker'), b AS (SELECT *, CASE WHEN w AND NOT coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 1 ELSE 0 END AS o FROM t), c AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS seq_no FROM b)
 SELECT doc_id, seq_no, string_agg(tok, ' ' ORDER BY pos) AS text FROM c WHERE w GROUP BY doc_id, seq_no""")
 def label_sequences(spark, d):
-    return K.sequences(LABELED.df(spark), ("settlement",), ("marker",))
+    return K.sequences(labelled(spark, d), ("persname",), ("value",))
 
 
 NESTED = Literal(
@@ -392,7 +400,7 @@ _PSEUDO = f"CASE kind WHEN 'name' THEN {name_sql('original')} WHEN 'email' THEN
 
 @query(f"SELECT doc_id, kind, original, {_PSEUDO} AS pseudo FROM {PERSONAL.sql}")
 def pseudonyms(spark, d):
-    return PERSONAL.df(spark).withColumn("pseudo", S.pseudo(F.col("kind"), F.col("original"), KEY))
+    return commands.pairs(table(spark, d, "documents"), KEY)
 
 
 @query(f"SELECT doc_id, {number_sql('CAST(doc_id AS VARCHAR)')} AS masked FROM documents")
@@ -414,13 +422,15 @@ RECORDS = Literal("doc_id bigint,pers_name string,idno string,phone string,email
 @query(f"""WITH e AS (SELECT doc_id, 'name' AS kind, pers_name AS v FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'idno', idno FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'phone', phone FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'email', email FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'date', date FROM {RECORDS.sql}),
 s AS (SELECT doc_id, kind, unnest(regexp_split_to_array(v, '[;\\t]')) AS v FROM e WHERE v IS NOT NULL), t AS (SELECT DISTINCT doc_id, kind, trim(CASE WHEN kind = 'idno' THEN replace(v, '*', '') ELSE v END) AS original FROM s) SELECT * FROM t WHERE CASE kind WHEN 'idno' THEN length(original) > 1 WHEN 'name' THEN length(original) > 2 AND NOT contains(original, '.') ELSE length(original) > 0 END""")
 def collect_identifiers(spark, d):
-    return S.collect(RECORDS.df(spark), ["pers_name", "idno", "phone", "email", "date"])
+    of = lambda kind: F.when(F.col("type") == kind, F.col("raw_name"))
+    rows = K.entities(table(spark, d, "documents")).select("doc_id", of("persname").alias("pers_name"), of("idno").alias("idno"), of("email").alias("email"))
+    return S.collect(rows, ["pers_name", "idno", "email"])
 
 
 @query(f"""WITH p AS (SELECT doc_id, kind, original, {_PSEUDO} AS pseudo FROM {PERSONAL.sql}), z AS (SELECT doc_id, kind, list_filter(regexp_extract_all(original, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}]')) AS o, list_filter(regexp_extract_all(pseudo, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}]')) AS q FROM p),
 y AS (SELECT doc_id, kind, o[i] AS original, q[i] AS pseudo FROM (SELECT *, unnest(range(1, least(len(o), len(q)) + 1)) AS i FROM z)) SELECT doc_id, kind, original, pseudo FROM p UNION ALL SELECT * FROM y WHERE length(original) > CASE WHEN kind = 'name' THEN 2 ELSE 1 END""")
 def pseudonym_components(spark, d):
-    return S.components(PERSONAL.df(spark).withColumn("pseudo", S.pseudo(F.col("kind"), F.col("original"), KEY)))
+    return S.components(commands.pairs(table(spark, d, "documents"), KEY))
 
 
 PAIRS = Literal("doc_id bigint,kind string,original string,pseudo string", (1, "name", "Paul", "Louis"), (1, "address", "Paul", "Zoé"), (1, "idno", "123", "987"), (1, "date", "07/03/2019", "01/01/1990"), (2, "name", "le roux", "du pont"))
@@ -432,12 +442,12 @@ mp AS (SELECT doc_id, kind, original, pseudo FROM (SELECT *, row_number() OVER (
 
 @query(f"WITH {_MAP} SELECT * FROM mp")
 def pseudonym_table(spark, d):
-    return S.pseudonym_map(PAIRS.df(spark))
+    return commands.pseudonyms(table(spark, d, "documents"), KEY)
 
 
 @query(f"WITH {_MAP} SELECT doc_id, string_agg(original || chr(9) || pseudo, chr(10) ORDER BY kind, original) AS tsv FROM mp GROUP BY doc_id")
 def pseudonym_tsv(spark, d):
-    return S.tsv(S.pseudonym_map(PAIRS.df(spark)))
+    return S.tsv(commands.pseudonyms(table(spark, d, "documents"), KEY))
 
 
 MAPPED = Literal("doc_id bigint,kind string,original string,pseudo string", *((i, "name", o, p) for i in range(0, 40) for o, p in (("the", "eht"), ("of", "fo"), ("de", "ed"), ("der", "red"))))
@@ -445,7 +455,8 @@ MAPPED = Literal("doc_id bigint,kind string,original string,pseudo string", *((i
 
 @query(f"WITH {TOKENS} SELECT t.doc_id, count(*) AS tokens, CAST(count(pseudo) AS BIGINT) AS replaced, md5(string_agg(coalesce(pseudo, tok), '' ORDER BY pos)) AS text FROM tk t LEFT JOIN {MAPPED.sql} m ON t.doc_id = m.doc_id AND t.tok = m.original GROUP BY t.doc_id")
 def apply_map(spark, d):
-    out = S.apply_map(K.explode_tokens(table(spark, d, "documents")), MAPPED.df(spark))
+    docs = table(spark, d, "documents")
+    out = S.apply_map(K.explode_tokens(docs), commands.pseudonyms(docs, KEY))
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("replaced").cast("long").alias("replaced"), F.md5(K.ordered_join("tok", "pos", "")).alias("text"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import commands
 from ..functions import features as X
 from ..functions import text as T
 from ..operators import gazetteer, layout
@@ -409,4 +410,5 @@ SWAPS = Literal("doc_id bigint,kind string,original string,pseudo string", *((i,
 @query(vector_sql("medic", swap=SWAPS.sql))
 def vector_pseudonymised(spark, d):
     """Tokens are swapped before features are derived, so that no feature shows the original."""
-    return vector(table(spark, d, "documents"), "medic", replaced=SWAPS.df(spark))
+    docs = table(spark, d, "documents")
+    return vector(docs, "medic", replaced=commands.pseudonyms(docs))

@@ -197,3 +197,50 @@ def test_vectors_cover_the_documents(spark, tmp_path):
         if name == "vector_full_text":
             assert [got[2, p][11] for p in (0, 2, 6000)] == ["BLOCKSTART", "BLOCKIN", "BLOCKEND"]
             assert [got[2, p][-1] for p in (0, 3000, 6000)] == ["0", "5", "11"]
+
+
+def test_pseudonyms_reach_every_document(spark, tmp_path):
+    """Map and clusters are those of the documents, whatever their ids."""
+    from itertools import groupby
+
+    ids = (1, 39, 40, 500, 10**12)
+    docs = [(i, f"le docteur Paul Martin{i % 7}\nvu par Anne, a.b@chu.fr no 0102030{i % 1000:03d}.") for i in ids] + [(7, "rien ici"), (8, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    original = {(i, k, o) for i in ids for k, o in (("name", "Paul Martin"), ("name", "Anne"), ("email", "a.b@chu.fr"), ("idno", f"0102030{i % 1000:03d}"))}
+    assert {(r["doc_id"], r["kind"], r["original"]) for r in run("pseudonyms")} == original == {(r["doc_id"], r["kind"], r["original"]) for r in run("collect_identifiers")}
+    assert {(i, "name", o) for i in ids for o in ("Paul", "Martin")} <= {(r["doc_id"], r["kind"], r["original"]) for r in run("pseudonym_components")}
+    assert {(i, o) for i in ids for o in ("Paul", "PAUL", "martin", "Anne")} <= {(r["doc_id"], r["original"]) for r in run("pseudonym_table")}
+    assert {r["doc_id"] for r in run("pseudonym_tsv")} == set(ids)
+    assert {r["doc_id"]: r["replaced"] for r in run("apply_map")} == {**dict.fromkeys(ids, 5), 7: 0}
+    features = {(r["doc_id"], r["features"].split(" ")[1]) for r in run("vector_pseudonymised")}
+    names = {(r["doc_id"], r["original"]): r["pseudo"] for r in run("pseudonym_table")}
+    assert {(i, names[i, o].lower()) for i in ids for o in ("Anne", f"0102030{i % 1000:03d}")} <= features
+
+    def label(t):
+        return "email" if "@" in t and len(t) > 1 else "idno" if t.isdigit() and len(t) >= 6 else "value" if t.isdigit() else "persname" if t[0].isupper() and t.isalpha() and len(t) > 1 else "other"
+
+    want = {}
+    for i, t in docs:
+        toks = re.findall(r"[\w.]+@[\w.]+\.[a-z]{2,}|[^\W\d]+|\d+|[^\w\s]", t or "")
+        want[i] = [(k, " ".join(g)) for k, g in groupby(toks, label)]
+    assert {(r["doc_id"], r["cluster_no"], r["label"], r["text"]) for r in run("clusters")} == {(i, n, *c) for i, cs in want.items() for n, c in enumerate(cs, 1)}
+    assert {(r["doc_id"], r["label"]) for r in run("label_map")} == {(i, k) for i, cs in want.items() for k, _ in cs}
+    assert {r["doc_id"]: r["tagged"].count("<persName>") for r in run("inline_tags")} == {i: sum(k == "persname" for k, _ in cs) for i, cs in want.items() if cs}
+    assert {r["doc_id"] for r in run("label_sequences")} == set(ids)
+    assert {r["text"] for r in run("label_sequences")} == {"Paul Martin", "Anne"}
+
+
+@pytest.mark.parametrize("name", ["clusters", "label_map", "inline_tags", "label_sequences", "pseudonyms", "pseudonym_components", "pseudonym_table", "pseudonym_tsv", "collect_identifiers"])
+def test_operators_on_literals_against_sql(spark, duck, name):
+    """The SQL of these queries is about literal rows, which have cases that documents don't."""
+    from pyspark.sql import functions as F
+
+    q = queries_docs
+    labelled, pairs = q.LABELED.df(spark), q.PERSONAL.df(spark).withColumn("pseudo", pseudonymize.pseudo(F.col("kind"), F.col("original"), q.KEY))
+    got = {
+        "clusters": lambda: K.cluster(labelled).groupBy("doc_id", "cluster_no", "label").agg(K.ordered_join("tok", "pos", " ").alias("text")), "label_map": lambda: K.label_map(K.cluster(labelled)), "inline_tags": lambda: K.inline_tags(labelled, q.TAGS),
+        "label_sequences": lambda: K.sequences(labelled, ("settlement",), ("marker",)), "pseudonyms": lambda: pairs, "pseudonym_components": lambda: pseudonymize.components(pairs), "pseudonym_table": lambda: pseudonymize.pseudonym_map(q.PAIRS.df(spark)),
+        "pseudonym_tsv": lambda: pseudonymize.tsv(pseudonymize.pseudonym_map(q.PAIRS.df(spark))), "collect_identifiers": lambda: pseudonymize.collect(q.RECORDS.df(spark), ["pers_name", "idno", "phone", "email", "date"]),
+    }[name]()
+    assert table(got.toPandas()).equals(table(duck.execute(SQL[name]).df()))
