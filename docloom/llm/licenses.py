@@ -3,14 +3,18 @@
 Windows are twice as long as the templates of their length class and start every class length, so that each passage of
 template length lies inside a window. The number of bands follows from the least Jaccard similarity that a window
 which contains four fifths of a template can have: such a pair meets in a band with probability ``MEET`` or more.
-Windows that share no shingle with any template are not sketched: they can't contain four fifths of one.
+Windows that share fewer shingles with the templates than the least of their class needs are not sketched: they can't
+contain four fifths of one. Templates are full license texts, their paragraphs, and sentences. Notices, and templates of
+fewer words than a shingle has, match by all of their words: one other word there may be another license or version.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ _FOLD[65:91] = np.arange(97, 123)
 #: Short notices and the telling sentences of common licenses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "GPL": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
     ),
     "MIT": (
@@ -51,6 +55,56 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty.",),
 }
 
+_FSF = "as published by the Free Software Foundation"
+#: Short notices with their versions; all words have to stand there. A notice inside a longer one is part of it.
+NOTICES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"),
+    "MIT": ("MIT License", "MIT Licence"),
+    "BSD-2-Clause": ("BSD 2-Clause", "2-clause BSD"),
+    "BSD-3-Clause": ("BSD 3-Clause", "3-clause BSD"),
+    "ISC": ("ISC License",),
+    "MPL-1.1": ("Mozilla Public License, version 1.1", "Mozilla Public License, v. 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "EPL-1.0": ("Eclipse Public License v1.0", "Eclipse Public License, version 1.0", "Eclipse Public License 1.0", "EPL 1.0"),
+    "EPL-2.0": ("Eclipse Public License v2.0", "Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v. 2.0", "EPL 2.0"),
+    "CC0-1.0": ("CC0 1.0",),
+    "Unlicense": ("The Unlicense",),
+    "GPL": ("GNU General Public License",),
+    "LGPL": ("GNU Lesser General Public License", "GNU Library General Public License"),
+    "AGPL": ("GNU Affero General Public License",),
+    **{
+        f"{short}-{v}": tuple(x for name in names for x in (f"{name}, version {v.removesuffix('.0')}", f"{name} version {v}", f"{name} v{v.removesuffix('.0')}", f"{name} v{v}", f"{name} {_FSF}, either version {v.removesuffix('.0')}", f"{name} {_FSF}; either version {v}", f"{name} {_FSF}, version {v.removesuffix('.0')}", f"{name} {_FSF}; version {v}"))
+        + tuple(f"{short}{x}" for x in (f"v{v.removesuffix('.0')}", f"v{v}", f"-{v}", f" {v}"))
+        for short, names, versions in (("GPL", ("GNU General Public License",), ("1.0", "2.0", "3.0")), ("LGPL", ("GNU Lesser General Public License", "GNU Library General Public License"), ("2.0", "2.1", "3.0")), ("AGPL", ("GNU Affero General Public License",), ("3.0",)))
+        for v in versions
+    },
+    **{
+        f"CC-{short}-{v}": (f"CC {short} {v}", f"Creative Commons {long} {v}")
+        for short, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivs"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0")
+        if "NoDeriv" not in long or long.endswith("NoDerivatives") == (v == "4.0")
+    },
+    "All-rights-reserved": ("All rights reserved",),
+}
+#: Paragraphs of full texts with so many words are templates of their own: a license is often quoted in part.
+PARAGRAPH = 20
+
+
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """Each license of ``license_texts`` whole, then its paragraphs."""
+    out = {}
+    for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = f.read_text("utf-8")
+        parts = [p for p in re.split(r"\n\s*\n", text) if len(re.findall(r"[A-Za-z0-9]+", p)) >= PARAGRAPH]
+        out[f.stem] = tuple(dict.fromkeys([text, *parts]))
+    return out
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """Sentences and full texts by license."""
+    full = full_texts()
+    return {n: (*TEMPLATES.get(n, ()), *full.get(n, ())) for n in [*TEMPLATES, *(n for n in full if n not in TEMPLATES)]}
+
 
 def license_words(texts: list[str] | pa.Array) -> Words:
     """Words of letters and digits, lower-cased in A-Z; all other ASCII characters part them."""
@@ -66,21 +120,33 @@ def license_words(texts: list[str] | pa.Array) -> Words:
 class Index:
     """Templates by length class, with the bands that retrieve them."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, meet: float = MEET, seed: int = 11):
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, meet: float = MEET, seed: int = 11, notices: dict[str, tuple[str, ...]] | None = None):
         self.contained = contained
-        self.names = [n for n, ts in templates.items() for _ in ts]
-        words = license_words([t for ts in templates.values() for t in ts])
+        kinds = (templates, notices or {})
+        self.names = [n for kind in kinds for n, ts in kind.items() for _ in ts]
+        words = license_words([t for kind in kinds for ts in kind.values() for t in ts])
+        self.lengths = words.counts.tolist()
+        whole = sum(map(len, templates.values()))
+        if not all(self.lengths):
+            raise ValueError("a template needs a word")
+        each = words.hashes()
+        pair = words.grams(each, 2)[0]
+        #: Notices by their first two words, or by their only one.
+        self.exact = (defaultdict(list), defaultdict(list))
+        for r, n in enumerate(self.lengths):
+            if n < SHINGLE or r >= whole:
+                first = words.first[r]
+                self.exact[n > 1][int((pair if n > 1 else each)[first])].append((r, each[first : first + n]))
         h, ok = words.grams(words.hashes(), SHINGLE)
         row = words.row[: len(h)][ok]
         self.shingles = [np.unique(h[ok][row == r]) for r in range(words.rows)]
-        if any(not len(s) for s in self.shingles):
-            raise ValueError(f"a template needs {SHINGLE} words or more")
-        self.known = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, U)
+        by_shingle = [r for r, n in enumerate(self.lengths) if n >= SHINGLE and r < whole]
+        self.known = np.unique(np.concatenate([self.shingles[r] for r in by_shingle])) if by_shingle else np.zeros(0, U)
         rng = np.random.RandomState(seed)
         self.classes: dict[int, tuple] = {}
         by_class = defaultdict(list)
-        for r, n in enumerate(words.counts.tolist()):
-            by_class[1 << max(3, math.ceil(math.log2(n)))].append(r)
+        for r in by_shingle:
+            by_class[1 << max(3, math.ceil(math.log2(self.lengths[r])))].append(r)
         for c, members in by_class.items():
             wide = 2 * c - SHINGLE + 1
             least = min((lambda s, k: k / (wide + s - k))(len(self.shingles[r]), self.need(r)) for r in members)
@@ -91,7 +157,7 @@ class Index:
             for r in members:
                 for b, key in enumerate(self.bands(self.shingles[r], salts, rows).tolist()):
                     found[b, key].append(r)
-            self.classes[c] = (salts, rows, dict(found))
+            self.classes[c] = (salts, rows, dict(found), min(map(self.need, members)))
 
     def need(self, r: int) -> int:
         return math.ceil(self.contained * len(self.shingles[r]) - 1e-9)
@@ -102,14 +168,19 @@ class Index:
         return mix(least[:, 0] * U(3) + (least[:, -1] if rows > 1 else U(0)))
 
     def scan(self, words: Words) -> list[tuple[int, int, int, int, float]]:
-        """(row, template, first word, last word, containment) of all matches; matches of one template that overlap are one."""
-        h, ok = words.grams(words.hashes(), SHINGLE)
-        if not len(h) or not len(self.known):
-            return []
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        hit = np.flatnonzero((self.known[at] == h) & ok)
-        raw = []
-        for c, (salts, rows, found) in self.classes.items():
+        """(row, template, first word, last word, containment) of all matches; matches of one template that overlap are one.
+
+        Of matches over the same words the one with the greater containment stays, then the longer template: a notice or
+        paragraph inside a text that matches as a whole is part of it.
+        """
+        each = words.hashes()
+        h, ok = words.grams(each, SHINGLE)
+        hit = np.zeros(0, np.int64)
+        if len(h) and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = np.flatnonzero((self.known[at] == h) & ok)
+        raw = self.notices(words, each)
+        for c, (salts, rows, found, least) in self.classes.items():
             local = hit - words.first[words.row[hit]]
             seen = set()
             for row, k in zip(words.row[hit].tolist(), (local // c).tolist(), strict=True):
@@ -120,7 +191,7 @@ class Index:
                     first, end = words.first[row], words.first[row + 1]
                     a = first + start * c
                     b = min(a + 2 * c, end) - SHINGLE + 1
-                    if b <= a:
+                    if b <= a or np.searchsorted(hit, b) - np.searchsorted(hit, a) < least:
                         continue
                     window = h[a:b]
                     have = np.unique(window)
@@ -136,16 +207,43 @@ class Index:
                 out[-1] = (*m[:2], out[-1][2], max(out[-1][3], m[3]), max(out[-1][4], m[4]))
             else:
                 out.append(m)
+        return self.best(out)
+
+    def notices(self, words: Words, each: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """Matches of the templates that need all of their words."""
+        out = []
+        for opening, known in zip((each, words.grams(each, 2)[0]), self.exact, strict=True):
+            if not len(opening) or not known:
+                continue
+            openers = np.array(sorted(known), U)
+            at = np.minimum(np.searchsorted(openers, opening), len(openers) - 1)
+            for p in np.flatnonzero(openers[at] == opening).tolist():
+                row = int(words.row[p])
+                for r, wanted in known[int(opening[p])]:
+                    if p + len(wanted) <= words.first[row + 1] and np.array_equal(each[p : p + len(wanted)], wanted):
+                        first = p - int(words.first[row])
+                        out.append((row, r, first, first + len(wanted) - 1, 1.0))
         return out
 
+    def best(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+        rank = lambda m: (m[4], self.lengths[m[1]])
+        kept, open_ = [], []
+        # what may cover a match comes before it; matches of one template don't overlap, so that few are open at once
+        for m in sorted(found, key=lambda m: (m[0], m[2], -m[3], -m[4], -self.lengths[m[1]])):
+            open_ = [o for o in open_ if o[0] == m[0] and o[3] >= m[2]]
+            if not any(m[3] <= o[3] and rank(o) > rank(m) for o in open_):
+                kept.append(m)
+            open_.append(m)
+        return sorted(kept)
+
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row for each match: doc_id, license, template, first_word, last_word, containment. Words count from 0, over letters and digits.
 
     Null and empty texts match nothing. Null ids come back as null; repeated rows give repeated matches.
     """
     bound_batches(docs.sparkSession)
-    index = Index(templates, contained)
+    index = Index(templates, contained, notices=notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,5 +260,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License passages of all documents; see :func:`scan_licenses`."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    """License texts, paragraphs, sentences and notices in all documents; see :func:`scan_licenses`."""
+    return scan_licenses(table(spark, sf_dir, "documents"), templates=all_templates(), notices=NOTICES)

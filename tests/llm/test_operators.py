@@ -464,3 +464,25 @@ def test_pipeline(spark, tmp_path):
                 assert kept == {key(r["doc_id"]) for r in before} and at.count() >= len(before)
     assert at.where("n_tokens = 0").count() == 0 and at.where("not agrees").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_license_texts_paragraphs_and_notices(spark, tmp_path):
+    """The registered scan knows whole texts, paragraphs without the telling sentence, and versions of short notices."""
+    from docloom.llm import queries
+
+    full, filler = licenses.full_texts(), "mot de plus " * 60
+    pick = lambda n, start: next(t for t in full[n] if t.lstrip().startswith(start))
+    rows = {
+        "MIT": pick("MIT", "THE SOFTWARE IS PROVIDED"), "BSD-3-Clause": full["BSD-3-Clause"][0], "BSD-2-Clause": full["BSD-2-Clause"][0], "Apache-2.0": full["Apache-2.0"][0], "GPL-2.0": full["GPL-2.0"][0], "LGPL-2.1": full["LGPL-2.1"][0], "CC0-1.0": full["CC0-1.0"][0],
+        "GPL-3.0": "released under the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "EPL-2.0": "made available under the Eclipse Public License v2.0", "AGPL-3.0": "This file is under AGPL-3.0 terms", "CC-BY-NC-4.0": "shared under CC BY-NC 4.0 by us", "All-rights-reserved": "All rights reserved.",
+    }
+    extra = {"v2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "none": "a General license, version 3", "other": "Licensed under the Acme License, Version 2.0."}
+    names = [*rows, *extra]
+    data = [(i, f"{filler}{t} {filler}") for i, t in enumerate([*rows.values(), *extra.values()])]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in rows_of(queries.QUERIES["op4_license_windows"](spark, str(tmp_path))):
+        got.setdefault(names[r["doc_id"]], set()).add(r["license"])
+    assert {n: n in got.get(n, ()) for n in rows} == dict.fromkeys(rows, True)
+    assert {n: got[n] for n in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Apache-2.0")} == {n: {n} for n in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Apache-2.0")}
+    assert "GPL-2.0" in got["v2"] and "GPL-3.0" not in got["v2"] and "none" not in got and "other" not in got
