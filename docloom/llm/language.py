@@ -7,6 +7,7 @@ grouped over all documents, and a document's own part is taken out of its prior
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,11 @@ from ._base import bound_batches, materialise, table, text_slices
 from ._words import BYTE_HASH, Words, mix
 
 U = np.uint64
-BITS, SAMPLE, MOST_LANGUAGES, STRENGTH, TRUST = 16, 20_000, 32, 8.0, 0.8
+BITS, SAMPLE, STRENGTH, TRUST = 16, 20_000, 8.0, 0.8
 #: Trigrams overlap, so their likelihood is tempered.
 TEMPER = 1 / 3
+#: Prior of a text in none of the languages, whose trigrams meet those of the training sample by chance; and how often a text in one of them does.
+NONE, SEEN = 1e-4, 0.9
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -45,28 +48,30 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their smoothed log-likelihoods by trigram bucket, from at most about ``sample`` labelled rows, picked by a hash of the id."""
+    """Languages and their smoothed log-likelihoods by trigram bucket, from at most about ``sample`` labelled rows, picked by a hash of the id.
+
+    All labels are languages. The sample is dealt out evenly among them; what a rare one doesn't fill goes to the others.
+    """
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    common = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES).collect()
-    langs = sorted(r[0] for r in common)
-    n = sum(r["count"] for r in common)
-    share = min(1.0, sample / max(n, 1))
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
+    sizes = {r[0]: r["count"] for r in labelled.groupBy(label_col).count().collect()}
+    langs = sorted(sizes)
+    left, quota = sample, {}
+    for k, x in enumerate(sorted(langs, key=lambda x: (sizes[x], x))):
+        quota[x] = min(sizes[x], max(1, left // (len(langs) - k)))
+        left -= quota[x]
+    limit = F.element_at(F.create_map(*[F.lit(v) for x in langs for v in (x, math.ceil(quota[x] / sizes[x] * (1 << 20)))]), F.col(label_col)) if langs else F.lit(0)
+    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < limit).select(F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
     place = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
         for b in batches:
             for s in text_slices(b):
                 words = Words(s.column("text"))
                 code, ok = _grams(words.data, words.offsets)
-                at = np.array([place.get(x, -1) for x in s.column("lang").to_pylist()])
-                lang = np.repeat(at, np.diff(words.offsets))[: len(code)]
-                ok &= lang >= 0
-                total += np.bincount(lang[ok] << BITS | code[ok], minlength=total.size).reshape(total.shape)
-        lang, code = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang << BITS | code), pa.array(total[lang, code])], names=["slot", "n"])
+                lang = np.repeat(np.array([place[x] for x in s.column("lang").to_pylist()], np.int64), np.diff(words.offsets))[: len(code)]
+                slot, n = np.unique(lang[ok] << BITS | code[ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
     found = np.zeros((max(len(langs), 1), 1 << BITS))
     if langs:
@@ -76,10 +81,16 @@ def train(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: i
     return langs, np.log(found / found.sum(1, keepdims=True)).astype(np.float32)
 
 
+def known_grams(table_: np.ndarray) -> np.ndarray:
+    """Which buckets the training sample has in any language."""
+    return (table_ > table_.min(1, keepdims=True)).any(0)
+
+
 def text_evidence(docs: DataFrame, text_col: str, id_col: str, langs: list[str], table_: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Id, ``keep`` columns and log-likelihoods (array, by ``langs``) of each text, and how many bytes of letters it has."""
+    """Id, ``keep`` columns and log-likelihoods (array, by ``langs``) of each text, whether it has letters, and how many trigrams, of them known ones."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(table_)
+    known = known_grams(table_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,19 +98,19 @@ def text_evidence(docs: DataFrame, text_col: str, id_col: str, langs: list[str],
                 words = Words(s.column("__text"))
                 code, ok = _grams(words.data, words.offsets)
                 at = np.searchsorted(np.flatnonzero(ok), words.offsets)
-                letters = np.diff(np.r_[0, np.cumsum(_LETTER[_FOLD[words.data]])][words.offsets])
                 code = code[ok]
+                seen = np.diff(np.r_[0, np.cumsum(known[code])][at])
                 like = np.zeros((words.rows, len(langs)), np.float64)
                 full = np.flatnonzero(np.diff(at))
                 for k in range(len(langs)):
                     if len(full):
                         like[full, k] = np.add.reduceat(shared.value[k][code].astype(np.float64), at[:-1][full])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(words.rows + 1, dtype=np.int32) * len(langs)), pa.array(like.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([s.column("__id"), *(s.column(c) for c in keep), lists, pa.array(letters.astype(np.int64))], names=["__id", *keep, "like", "letters"])
+                yield pa.RecordBatch.from_arrays([s.column("__id"), *(s.column(c) for c in keep), lists, s.column("letters"), pa.array(np.diff(at).astype(np.int64)), pa.array(seen.astype(np.int64))], names=["__id", *keep, "like", "letters", "grams", "seen"])
 
     kinds = dict(docs.dtypes)
-    schema = "__id long" + "".join(f", `{c}` {kinds[c]}" for c in keep) + ", like array<double>, letters long"
-    return docs.select(F.col(id_col).cast("long").alias("__id"), *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = "__id long" + "".join(f", `{c}` {kinds[c]}" for c in keep) + ", like array<double>, letters boolean, grams long, seen long"
+    return docs.select(F.col(id_col).cast("long").alias("__id"), *keep, F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, schema)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -117,7 +128,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", group_col: str = "source", sample: int = SAMPLE) -> DataFrame:
     """One row for each document: id, language ("und" if undecided), posterior, text_language, declared, host, accepted.
 
-    A document is rejected when it has no letters to go by; one that is only ambiguous gets its likeliest language and a low posterior.
+    A document is rejected when it has no letters (by Unicode category) or its trigrams fit none of the languages; one that is only
+    ambiguous gets its likeliest language and a low posterior. A language of the same script that no label names can still pass for its neighbour.
     ``label_col`` is used to train only. Where no page tells a host, ``group_col`` stands for it. Null texts count as
     empty and are rejected; without labelled rows all are "und". Ids may be null or repeat: each row gets its own answer.
     """
@@ -135,30 +147,34 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     else:
         scored = scored.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "host")})
     scored = scored.withColumn("host", F.coalesce(F.nullif("host", F.lit("")), F.col("__group"), F.lit(""))).withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.coalesce("suffix", F.lit(""))).withColumn("declared", F.coalesce("declared", F.lit("")))
-    sums = lambda p: [F.sum(F.when(F.col("letters") > 0, F.col("post")[k]).otherwise(0.0)).alias(f"{p}{k}") for k in range(L)]
+    # A document's own part of the sums; arrays by language, so that plans grow with the number of languages and not with its square.
+    chance = float(np.clip(known_grams(model).mean(), 1e-6, SEEN - 0.05))
+    strange = F.col("seen") * F.lit(math.log(chance / SEEN)) + (F.col("grams") - F.col("seen")) * F.lit(math.log((1 - chance) / (1 - SEEN)))
+    scored = scored.withColumn("fits", F.col("letters") & (strange * TEMPER + F.lit(math.log(NONE)) <= 0))
+    scored = scored.withColumn("own", F.when(F.col("fits"), F.col("post")).otherwise(F.array(*[F.lit(0.0)] * L)))
+    total = lambda col, name: arr(lambda k: F.sum(F.col(col)[k])).alias(name)
     # One grouping by all four gives the tables of each: hosts with their sites, suffixes, declared languages, all.
-    cells = scored.groupBy("host", "site", "suffix", "declared").agg(*sums("n"))
-    cells = materialise(cells, "cells")
-    add = lambda p: [F.sum(f"n{k}").alias(f"{p}{k}") for k in range(L)]
-    hosts = cells.groupBy("host").agg(*add("h"))
-    sites = cells.groupBy("site").agg(*add("s"))
-    suffixes = cells.groupBy("suffix").agg(*add("x"))
-    every = cells.agg(*add("a")).first()
+    cells = materialise(scored.groupBy("host", "site", "suffix", "declared").agg(total("own", "n")), "cells")
+    hosts = cells.groupBy("host").agg(total("n", "h"))
+    sites = cells.groupBy("site").agg(total("n", "s"))
+    suffixes = cells.groupBy("suffix").agg(total("n", "x"))
+    every = cells.agg(total("n", "a")).first()["a"]
     a = np.array([float(v or 0) for v in every])
     base = ((a + 1) / (a.sum() + L)).tolist()
     joined = scored.join(hosts, "host").join(sites, "site").join(suffixes, "suffix")
-    own = lambda k: F.when(F.col("letters") > 0, F.col("post")[k]).otherwise(0.0)
-    plus = lambda p: sum((F.greatest(F.col(f"{p}{j}") - own(j), F.lit(0.0)) for j in range(1, L)), F.greatest(F.col(f"{p}0") - own(0), F.lit(0.0)))
-    level = lambda p, parent: lambda k: (F.greatest(F.col(f"{p}{k}") - own(k), F.lit(0.0)) + STRENGTH * parent(k)) / (plus(p) + STRENGTH)
-    site = level("s", lambda k: F.lit(base[k]))
-    joined = joined.withColumn("sp", arr(site)).withColumn("hp", arr(level("h", lambda k: F.col("sp")[k]))).withColumn("xp", arr(level("x", lambda k: F.lit(base[k]))))
+    joined = joined.withColumn("base", F.array(*map(F.lit, base)))
+    for c in ("h", "s", "x"):
+        joined = joined.withColumn(c, F.zip_with(c, "own", lambda v, o: F.greatest(v - o, F.lit(0.0)))).withColumn(f"{c}n", F.aggregate(c, F.lit(0.0), lambda t, v: t + v))
+    for prior, c, parent in (("sp", "s", "base"), ("hp", "h", "sp"), ("xp", "x", "base")):
+        total_of = F.col(f"{c}n") + STRENGTH
+        joined = joined.withColumn(prior, F.zip_with(c, parent, lambda v, q: (v + STRENGTH * q) / total_of))
     declared = lambda k: F.when(~F.col("declared").isin(langs), 0.0).when(F.col("declared") == langs[k], F.log(F.lit(TRUST))).otherwise(F.log(F.lit((1 - TRUST) / max(L - 1, 1))))
     suffix = lambda k: F.when(F.col("suffix") == "", 0.0).otherwise(F.log(F.col("xp")[k] / F.lit(base[k])))
     fused = joined.withColumn("fused", soft(arr(lambda k: F.col("ll")[k] + F.log(F.col("hp")[k]) + suffix(k) + declared(k))))
     best = F.array_max("fused")
     name = lambda col, top: F.element_at(F.array(*map(F.lit, langs)), F.array_position(col, top).cast("int"))
-    sure = (F.col("letters") > 0)
-    return fused.select(F.col("__id").alias("doc_id"), F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"), F.round(best, 6).alias("posterior"), F.when(F.col("letters") > 0, name(F.col("post"), F.array_max("post"))).alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"), "host", sure.alias("accepted")).select("doc_id", *[c.split()[0] for c in out.split(", ")])
+    sure = F.col("fits")
+    return fused.select(F.col("__id").alias("doc_id"), F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"), F.round(best, 6).alias("posterior"), F.when(sure, name(F.col("post"), F.array_max("post"))).alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"), "host", sure.alias("accepted")).select("doc_id", *[c.split()[0] for c in out.split(", ")])
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -486,3 +486,14 @@ def test_license_texts_paragraphs_and_notices(spark, tmp_path):
     assert {n: n in got.get(n, ()) for n in rows} == dict.fromkeys(rows, True)
     assert {n: got[n] for n in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Apache-2.0")} == {n: {n} for n in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0", "Apache-2.0")}
     assert "GPL-2.0" in got["v2"] and "GPL-3.0" not in got["v2"] and "none" not in got and "other" not in got
+
+
+def test_language_takes_all_labels_and_rejects_what_fits_none(spark):
+    rng = random.Random(11)
+    vocab = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(40)}
+    rows = [(100 * k + i, " ".join(rng.choices(vocab[lang], k=30)), lang) for k, lang in enumerate(vocab) for i in range(3 if k >= 30 else 12)]
+    odd = [(9001, "\U0001f600 ☃ → € —"), (9002, "漢字は日本語の文字である" * 5), (9003, "12 … !")]
+    df = spark.createDataFrame([(i, t, lang, f"s{i % 3}") for i, t, lang in rows] + [(i, t, None, "s0") for i, t in odd], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in rows_of(language.identify(df, None, sample=300))}
+    assert {i: out[i]["language"] for i, _, _ in rows} == {i: lang for i, _, lang in rows}
+    assert {out[i]["language"] for i, _ in odd} == {"und"} and not any(out[i]["accepted"] for i, _ in odd)
