@@ -41,7 +41,7 @@ def export_flatten(spark, d):
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, page FROM ln WHERE page <= 0")
 def page_window(spark, d):
-    return layout.text_lines(table(spark, d, "documents")).where("page <= 0").select("doc_id", "line_no", "page")
+    return layout.text_lines(table(spark, d, "documents")).where("page between 0 and 2").select("doc_id", "line_no", "page")
 
 
 LEX = Literal(

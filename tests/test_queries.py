@@ -244,3 +244,9 @@ def test_operators_on_literals_against_sql(spark, duck, name):
         "pseudonym_tsv": lambda: pseudonymize.tsv(pseudonymize.pseudonym_map(q.PAIRS.df(spark))), "collect_identifiers": lambda: pseudonymize.collect(q.RECORDS.df(spark), ["pers_name", "idno", "phone", "email", "date"]),
     }[name]()
     assert table(got.toPandas()).equals(table(duck.execute(SQL[name]).df()))
+
+
+def test_page_window_has_pages_0_to_2(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join(f"line {k}" for k in range(130))), (2, "one\n\nthree"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"], r["page"]) for r in QUERIES["page_window"](spark, str(tmp_path)).collect()}
+    assert got == {(1, k, k // 40) for k in range(120)} | {(2, 0, 0), (2, 2, 0)}
