@@ -250,3 +250,12 @@ def test_page_window_has_pages_0_to_2(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(f"line {k}" for k in range(130))), (2, "one\n\nthree"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["line_no"], r["page"]) for r in QUERIES["page_window"](spark, str(tmp_path)).collect()}
     assert got == {(1, k, k // 40) for k in range(120)} | {(2, 0, 0), (2, 2, 0)}
+
+
+def test_title_case_has_every_turn(spark):
+    """By brute force, texts with a sharp s too: its title case is Ss."""
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("turn", "conv_id", "text").collect()
+    title = lambda t: None if t is None else " ".join(w[:1].title() + w[1:].lower() for w in t.split(" "))
+    assert any("ß" in (r["text"] or "") for r in rows)
+    got = sorted(((r["conv_id"], r["turn"], r["title"]) for r in QUERIES["title_case"](spark, SF).collect()), key=str)
+    assert got == sorted(((r["conv_id"], r["turn"], title(r["text"])) for r in rows), key=str)
