@@ -15,7 +15,8 @@ from ..operators import extraction as X
 from ..operators import perceptron
 from ..operators import pseudonymize as S
 from ..operators import tokens as K
-from .queries_text import LABEL, LINES, TOKENS
+from ..operators.vectors import vector
+from .queries_text import LABEL, LINES, TOKENS, vector_sql
 from .registry import Literal, query, table
 from .schema import ALIASES, FIELDS, ZONE_TAGS, fields_of
 
@@ -39,12 +40,12 @@ ct AS (SELECT *, CAST(sum(CASE WHEN starts_with(label, 'I-') OR p IS NULL OR p <
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-@query(f"WITH {_CL} SELECT doc_id, cluster_no, lab AS label, string_agg(tok, ' ' ORDER BY pos) AS text FROM ct GROUP BY ALL")
+@query(f"WITH {TOKENS}, {LABEL} SELECT doc_id, cluster_no, label, string_agg(tok, ' ' ORDER BY pos) AS text FROM cl GROUP BY ALL")
 def clusters(spark, d):
     return K.cluster(labelled(spark, d)).groupBy("doc_id", "cluster_no", "label").agg(K.ordered_join("tok", "pos", " ").alias("text"))
 
 
-@query(f"WITH {_CL} SELECT doc_id, lab AS label, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM ct GROUP BY ALL")
+@query(f"WITH {TOKENS}, {LABEL} SELECT doc_id, label, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM cl GROUP BY ALL")
 def label_map(spark, d):
     return K.label_map(K.cluster(labelled(spark, d)))
 
@@ -58,14 +59,17 @@ TAGS = {"persname": "persName", "title": "roleName", "settlement": "settlement"}
 _TAG = "CASE lab " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TAGS.items()) + " END"
 
 
-@query(f"""WITH {_CL}, g AS (SELECT doc_id, cluster_no, lab, min_by(ws, pos) AS ld, string_agg(CASE WHEN pos = first THEN '' ELSE ws END || {_ESC.format('tok')}, '' ORDER BY pos) AS t FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, cluster_no) AS first FROM ct) GROUP BY ALL)
-SELECT doc_id, string_agg(ld || CASE WHEN {_TAG} IS NULL THEN t ELSE '<' || {_TAG} || '>' || t || '</' || {_TAG} || '>' END, '' ORDER BY cluster_no) AS tagged FROM g GROUP BY doc_id""")
+#: Runs of labelled tokens with the texts before and inside them.
+_RUNS = f"""f AS (SELECT doc_id, cluster_no, label, min(char_offset) AS a, max(char_offset + length(tok)) AS b FROM cl GROUP BY ALL), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY cluster_no), 0) AS prev FROM f),
+rn AS (SELECT doc_id, cluster_no, label, substr(text, CAST(prev + 1 AS BIGINT), CAST(a - prev AS BIGINT)) AS ld, {_ESC.format("substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))")} AS s FROM p JOIN documents USING (doc_id))"""
+
+
+@query(f"WITH {TOKENS}, {LABEL}, {_RUNS} SELECT doc_id, string_agg(ld || CASE WHEN label = 'persname' THEN '<persName>' || s || '</persName>' ELSE s END, '' ORDER BY cluster_no) AS tagged FROM rn GROUP BY doc_id")
 def inline_tags(spark, d):
     return K.inline_tags(labelled(spark, d), TAGS)
 
 
-@query(f"""WITH {TOKENS}, {LABEL}, f AS (SELECT doc_id, cluster_no, label, min(char_offset) AS a, max(char_offset + length(tok)) AS b FROM cl GROUP BY ALL), p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY cluster_no), 0) AS prev FROM f)
-SELECT doc_id, md5(string_agg(substr(text, CAST(prev + 1 AS BIGINT), CAST(a - prev AS BIGINT)) || CASE WHEN label = 'other' THEN s ELSE '<' || label || '>' || s || '</' || label || '>' END, '' ORDER BY cluster_no)) AS tagged FROM (SELECT p.*, text, {_ESC.format("substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))")} AS s FROM p JOIN documents USING (doc_id)) GROUP BY doc_id""")
+@query(f"WITH {TOKENS}, {LABEL}, {_RUNS} SELECT doc_id, md5(string_agg(ld || CASE WHEN label = 'other' THEN s ELSE '<' || label || '>' || s || '</' || label || '>' END, '' ORDER BY cluster_no)) AS tagged FROM rn GROUP BY doc_id")
 def tagged_documents(spark, d):
     toks = K.spaced_tokens(table(spark, d, "documents"))
     tags = {"email": "email", "idno": "idno", "value": "value", "persname": "persname"}
@@ -78,7 +82,7 @@ def token_chunks(spark, d):
     return K.chunks(LABELED.df(spark))
 
 
-@query(f"""WITH t AS (SELECT *, label IN ('settlement') AS w FROM {LABELED.sql} WHERE label <> 'marker'), b AS (SELECT *, CASE WHEN w AND NOT coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 1 ELSE 0 END AS o FROM t), c AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS seq_no FROM b)
+@query(f"""WITH {TOKENS}, {LABEL}, t AS (SELECT *, label = 'persname' AS w FROM lb WHERE label <> 'value'), o AS (SELECT *, CASE WHEN w AND NOT coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 1 ELSE 0 END AS o FROM t), c AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS seq_no FROM o)
 SELECT doc_id, seq_no, string_agg(tok, ' ' ORDER BY pos) AS text FROM c WHERE w GROUP BY doc_id, seq_no""")
 def label_sequences(spark, d):
     return K.sequences(labelled(spark, d), ("persname",), ("value",))
@@ -234,7 +238,7 @@ def person_dedup(spark, d):
     return X.dedupe_names(X.sane_names(NAMES.df(spark)))
 
 
-@query(f"""WITH {TOKENS}, {LABEL}, o AS (SELECT doc_id, offset_start, offset_end, min_by(struct_pack(t := type, r := raw_name), type) AS e FROM en WHERE type IN ('idno', 'value', 'email') GROUP BY ALL) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY offset_start, offset_end) AS BIGINT) AS entity_no, offset_start, offset_end, e.t AS type, e.r AS raw_name FROM o""")
+@query(f"""WITH {TOKENS}, {LABEL}, o AS (SELECT doc_id, offset_start, offset_end, min_by(struct_pack(t := type, r := raw_name), type) AS e FROM en GROUP BY ALL) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY offset_start, offset_end) AS BIGINT) AS entity_no, offset_start, offset_end, e.t AS type, e.r AS raw_name FROM o""")
 def entity_order(spark, d):
     return X.ordered_entities(K.entities(table(spark, d, "documents")))
 
@@ -243,7 +247,7 @@ def _by_line(sql: str) -> str:
     return sql.replace("FROM documents", "FROM ldocs").replace("JOIN documents", "JOIN ldocs")
 
 
-@query(f"""WITH {LINES}, ldocs AS (SELECT doc_id * 1000000 + line_no AS doc_id, line AS text FROM el WHERE trim(line) <> ''), {_by_line(TOKENS)}, {_by_line(LABEL)} SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS line_no, type, offset_start, offset_end, raw_name FROM en WHERE type <> 'persname'""")
+@query(f"""WITH {LINES}, ldocs AS (SELECT doc_id * 1000000 + line_no AS doc_id, line AS text FROM el WHERE trim(line) <> ''), {_by_line(TOKENS)}, {_by_line(LABEL)} SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS line_no, type, offset_start, offset_end, raw_name FROM en""")
 def body_entities(spark, d):
     return X.body_entities(table(spark, d, "documents"))
 
@@ -337,7 +341,7 @@ def element_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", A.element_id(F.col("doc_id"), F.lit(1)).alias("element_id"))
 
 
-@query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, '<entities>' || string_agg('<entity type="' || type || '" start="' || offset_start || '" end="' || offset_end || '">' || {_ESC.format('raw_name')} || '</entity>', '' ORDER BY offset_start) || '</entities>' AS xml FROM en WHERE type <> 'persname' GROUP BY doc_id""")
+@query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, '<entities>' || string_agg('<entity type="' || type || '" start="' || offset_start || '" end="' || offset_end || '">' || {_ESC.format('raw_name')} || '</entity>', '' ORDER BY offset_start) || '</entities>' AS xml FROM en GROUP BY doc_id""")
 def entities_xml(spark, d):
     return A.entities_xml(K.entities(table(spark, d, "documents")))
 
@@ -398,7 +402,12 @@ _RAW = rf"CASE WHEN regexp_matches(original, '^(\d{{1,2}})([/.-])(\d{{1,2}})([/.
 _PSEUDO = f"CASE kind WHEN 'name' THEN {name_sql('original')} WHEN 'email' THEN {email_sql('original')} WHEN 'date' THEN CASE WHEN regexp_matches(original, '^\\d{{4}}-') THEN {_SHIFT} ELSE {_RAW} END ELSE {number_sql('original')} END"
 
 
-@query(f"SELECT doc_id, kind, original, {_PSEUDO} AS pseudo FROM {PERSONAL.sql}")
+#: Personal data of all documents with their pseudonyms, from the entities. Names have no dates among them.
+_FOUND = f"""fo AS (SELECT DISTINCT doc_id, CASE type WHEN 'persname' THEN 'name' ELSE type END AS kind, trim(regexp_replace(raw_name, '\\s+', ' ', 'g')) AS original FROM en WHERE type IN ('persname', 'idno', 'email'))"""
+_PAIRED = f"""{TOKENS}, {LABEL}, {_FOUND}, pd AS (SELECT doc_id, kind, original, CASE kind WHEN 'name' THEN {name_sql('original')} WHEN 'email' THEN {email_sql('original')} ELSE {number_sql('original')} END AS pseudo FROM fo)"""
+
+
+@query(f"WITH {_PAIRED} SELECT * FROM pd")
 def pseudonyms(spark, d):
     return commands.pairs(table(spark, d, "documents"), KEY)
 
@@ -419,47 +428,60 @@ def mask_email(spark, d):
 RECORDS = Literal("doc_id bigint,pers_name string,idno string,phone string,email string,date string", (1, "Paul Martin; Dr. X; Al", "*123*; 4", "01 02\t03", "a@b.fr", None), (1, "Paul Martin", None, None, None, "2019-03-07"))
 
 
-@query(f"""WITH e AS (SELECT doc_id, 'name' AS kind, pers_name AS v FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'idno', idno FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'phone', phone FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'email', email FROM {RECORDS.sql} UNION ALL SELECT doc_id, 'date', date FROM {RECORDS.sql}),
-s AS (SELECT doc_id, kind, unnest(regexp_split_to_array(v, '[;\\t]')) AS v FROM e WHERE v IS NOT NULL), t AS (SELECT DISTINCT doc_id, kind, trim(CASE WHEN kind = 'idno' THEN replace(v, '*', '') ELSE v END) AS original FROM s) SELECT * FROM t WHERE CASE kind WHEN 'idno' THEN length(original) > 1 WHEN 'name' THEN length(original) > 2 AND NOT contains(original, '.') ELSE length(original) > 0 END""")
+@query(f"""WITH {TOKENS}, {LABEL}, e AS (SELECT DISTINCT doc_id, CASE type WHEN 'persname' THEN 'name' ELSE type END AS kind, trim(raw_name) AS original FROM en WHERE type IN ('persname', 'idno', 'email'))
+SELECT * FROM e WHERE CASE kind WHEN 'idno' THEN length(original) > 1 WHEN 'name' THEN length(original) > 2 AND NOT contains(original, '.') ELSE length(original) > 0 END""")
 def collect_identifiers(spark, d):
     of = lambda kind: F.when(F.col("type") == kind, F.col("raw_name"))
     rows = K.entities(table(spark, d, "documents")).select("doc_id", of("persname").alias("pers_name"), of("idno").alias("idno"), of("email").alias("email"))
     return S.collect(rows, ["pers_name", "idno", "email"])
 
 
-@query(f"""WITH p AS (SELECT doc_id, kind, original, {_PSEUDO} AS pseudo FROM {PERSONAL.sql}), z AS (SELECT doc_id, kind, list_filter(regexp_extract_all(original, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}]')) AS o, list_filter(regexp_extract_all(pseudo, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}]')) AS q FROM p),
-y AS (SELECT doc_id, kind, o[i] AS original, q[i] AS pseudo FROM (SELECT *, unnest(range(1, least(len(o), len(q)) + 1)) AS i FROM z)) SELECT doc_id, kind, original, pseudo FROM p UNION ALL SELECT * FROM y WHERE length(original) > CASE WHEN kind = 'name' THEN 2 ELSE 1 END""")
+_SOLID = "list_filter(regexp_extract_all({}, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}]'))"
+_PARTS = f"""z AS (SELECT doc_id, kind, {_SOLID.format('original')} AS o, {_SOLID.format('pseudo')} AS q FROM pd), y AS (SELECT doc_id, kind, o[i] AS original, q[i] AS pseudo FROM (SELECT *, unnest(range(1, least(len(o), len(q)) + 1)) AS i FROM z)),
+cp AS (SELECT doc_id, kind, original, pseudo FROM pd UNION ALL SELECT * FROM y WHERE length(original) > CASE WHEN kind = 'name' THEN 2 ELSE 1 END)"""
+
+
+@query(f"WITH {_PAIRED}, {_PARTS} SELECT * FROM cp")
 def pseudonym_components(spark, d):
     return S.components(commands.pairs(table(spark, d, "documents"), KEY))
 
 
 PAIRS = Literal("doc_id bigint,kind string,original string,pseudo string", (1, "name", "Paul", "Louis"), (1, "address", "Paul", "Zoé"), (1, "idno", "123", "987"), (1, "date", "07/03/2019", "01/01/1990"), (2, "name", "le roux", "du pont"))
 _INIT = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
-_MAP = f"""o AS (SELECT doc_id, kind, original, pseudo FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, original ORDER BY kind, pseudo) AS r FROM {PAIRS.sql}) WHERE r = 1),
-v AS (SELECT doc_id, kind, 0 AS k, original, pseudo FROM o UNION ALL SELECT doc_id, kind, k, CASE k WHEN 1 THEN upper(original) WHEN 2 THEN lower(original) ELSE {_INIT.format('original')} END, CASE k WHEN 1 THEN upper(pseudo) WHEN 2 THEN lower(pseudo) ELSE {_INIT.format('pseudo')} END FROM o, (VALUES (1), (2), (3)) AS n(k) WHERE NOT regexp_matches(original, '^[0-9/.-]+$')),
+def map_sql(source: str) -> str:
+    """CTEs up to mp, the map of pseudonyms from the pairs of ``source``."""
+    return f"""o AS (SELECT doc_id, kind, original, pseudo FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, original ORDER BY kind, pseudo) AS r FROM {source}) WHERE r = 1),
+v AS (SELECT doc_id, kind, 0 AS k, original, pseudo FROM o UNION ALL SELECT doc_id, kind, k, CASE k WHEN 1 THEN upper(replace(original, 'ß', 'SS')) WHEN 2 THEN lower(original) ELSE {_INIT.format('original')} END, CASE k WHEN 1 THEN upper(replace(pseudo, 'ß', 'SS')) WHEN 2 THEN lower(pseudo) ELSE {_INIT.format('pseudo')} END FROM o, (VALUES (1), (2), (3)) AS n(k) WHERE NOT regexp_matches(original, '^[0-9/.-]+$|^\\p{{N}}+$')),
 mp AS (SELECT doc_id, kind, original, pseudo FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, original ORDER BY k, kind, pseudo) AS r FROM v) WHERE r = 1)"""
 
 
-@query(f"WITH {_MAP} SELECT * FROM mp")
+_MAPPED = f"{_PAIRED}, {_PARTS}, {map_sql('cp')}"
+
+
+@query(f"WITH {_MAPPED} SELECT * FROM mp")
 def pseudonym_table(spark, d):
     return commands.pseudonyms(table(spark, d, "documents"), KEY)
 
 
-@query(f"WITH {_MAP} SELECT doc_id, string_agg(original || chr(9) || pseudo, chr(10) ORDER BY kind, original) AS tsv FROM mp GROUP BY doc_id")
+@query(f"WITH {_MAPPED} SELECT doc_id, string_agg(original || chr(9) || pseudo, chr(10) ORDER BY kind, original) AS tsv FROM mp GROUP BY doc_id")
 def pseudonym_tsv(spark, d):
     return S.tsv(commands.pseudonyms(table(spark, d, "documents"), KEY))
 
 
-MAPPED = Literal("doc_id bigint,kind string,original string,pseudo string", *((i, "name", o, p) for i in range(0, 40) for o, p in (("the", "eht"), ("of", "fo"), ("de", "ed"), ("der", "red"))))
-
-
-@query(f"WITH {TOKENS} SELECT t.doc_id, count(*) AS tokens, CAST(count(pseudo) AS BIGINT) AS replaced, md5(string_agg(coalesce(pseudo, tok), '' ORDER BY pos)) AS text FROM tk t LEFT JOIN {MAPPED.sql} m ON t.doc_id = m.doc_id AND t.tok = m.original GROUP BY t.doc_id")
+@query(f"WITH {_MAPPED} SELECT t.doc_id, count(*) AS tokens, CAST(count(pseudo) AS BIGINT) AS replaced, md5(string_agg(coalesce(pseudo, tok), '' ORDER BY pos)) AS text FROM tk t LEFT JOIN mp m ON t.doc_id = m.doc_id AND t.tok = m.original GROUP BY t.doc_id")
 def apply_map(spark, d):
     docs = table(spark, d, "documents")
     out = S.apply_map(K.explode_tokens(docs), commands.pseudonyms(docs, KEY))
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("replaced").cast("long").alias("replaced"), F.md5(K.ordered_join("tok", "pos", "")).alias("text"))
 
 
+@query(vector_sql("medic", swap="mp", before=_MAPPED))
+def vector_pseudonymised(spark, d):
+    """Tokens are swapped before features are derived, so that no feature shows the original."""
+    docs = table(spark, d, "documents")
+    return vector(docs, "medic", replaced=commands.pseudonyms(docs, KEY))
+
+
 ADDRESSES = Literal("doc_id bigint,address string", (1, "12 rue A 69001 Lyon"), (2, "7 bd B 75001 Paris"), (3, "sans code"))
 CITIES = Literal("post_code string,city string", ("69001", "Lyon"), ("75001", "Paris"), ("13001", "Marseille"), ("00000", "la"), ("59000", "Lille"))
 

@@ -39,7 +39,7 @@ def export_flatten(spark, d):
     return files.export_rows(table(spark, d, "documents"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, page FROM ln WHERE page <= 0")
+@query(f"WITH {LINES} SELECT doc_id, line_no, page FROM ln WHERE page BETWEEN 0 AND 2")
 def page_window(spark, d):
     return layout.text_lines(table(spark, d, "documents")).where("page between 0 and 2").select("doc_id", "line_no", "page")
 
@@ -104,9 +104,9 @@ def space_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.strip_spaces(t)).alias("bare"), F.md5(T.normalize_space(t)).alias("normal"), F.md5(T.dehyphenize(t)).alias("joined"))
 
 
-@query("SELECT turn, conv_id, array_to_string(list_transform(string_split(text, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS title FROM conversations WHERE NOT contains(text, 'ß')")
+@query("SELECT turn, conv_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN starts_with(w, 'ß') THEN 'Ss' ELSE upper(substr(w, 1, 1)) END || lower(substr(w, 2))), ' ') AS title FROM conversations")
 def title_case(spark, d):
-    """The sharp s has no single capital: engines differ there, and the SQL leaves those texts out."""
+    """The sharp s has no single capital: at the start of a word it becomes Ss, its title case in Unicode."""
     return table(spark, d, "conversations").select("turn", "conv_id", T.title_case(F.col("text")).alias("title"))
 
 
@@ -226,7 +226,7 @@ def entities_by_type(spark, d):
     return K.entity_spans(table(spark, d, "documents")).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, offset_start, '{{"rawName":"' || raw_name || '","type":"' || type || '","offsetStart":' || offset_start || ',"offsetEnd":' || offset_end || '}}' AS json FROM en WHERE type = 'email'""")
+@query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, offset_start, '{{"rawName":' || CAST(to_json(raw_name) AS VARCHAR) || ',"type":"' || type || '","offsetStart":' || offset_start || ',"offsetEnd":' || offset_end || '}}' AS json FROM en""")
 def entity_text_json(spark, d):
     return K.entities(table(spark, d, "documents")).select("doc_id", "offset_start", entity_json().alias("json"))
 
@@ -375,22 +375,22 @@ def _register_vectors() -> None:
         query(vector_sql(model))(run)
 
 
-def vector_sql(model: str, swap: str = "", lexicon: bool = False) -> str:
+def vector_sql(model: str, swap: str = "", lexicon: bool = False, before: str = "") -> str:
     names = {
         "tok": "tok", "low": "lower(tok)", **{f"p{n}": f"left(lower(tok), {n})" for n in range(1, 6)}, **{f"s{n}": f"right(lower(tok), {n})" for n in range(1, 6)}, "caps": "caps", "digit": "digit", "single": "single", "punct": "punct", "shape": "shape", "trimmed": "trimmed",
         "year": "year", "month": "month", "email": "email", "http": "http", "line": "ls", "block": "bs", "position": "rp",
     }
-    tokens = TOKENS.replace("FROM documents", "FROM (SELECT item_id AS doc_id, text FROM benchmark)")
+    tokens, tk = before or TOKENS, "tk"
     if swap:
-        tokens = tokens.replace("tk AS (SELECT *", "tk0 AS (SELECT *") + f", tk AS (SELECT t.doc_id, t.pos, coalesce(m.pseudo, t.tok) AS tok, t.char_offset FROM tk0 t LEFT JOIN {swap} m ON t.doc_id = m.doc_id AND t.tok = m.original)"
-        tokens = tokens.replace("FROM tk WHERE", "FROM tk0 WHERE")
+        tokens += f", sw AS (SELECT t.doc_id, t.pos, coalesce(m.pseudo, t.tok) AS tok, t.char_offset FROM tk t LEFT JOIN {swap} m ON t.doc_id = m.doc_id AND t.tok = m.original)"
+        tk = "sw"
     cols = ", ".join(names[c] for c in VECTORS[model])
     source = "st"
     if lexicon:
         tokens += f", {LEX_SQL}"
         cols += ", " + ", ".join(f"is_{c}" for c in gazetteer.CLASSES)
         source = f"(SELECT s.*, {', '.join(f'(SELECT CAST(count(*) > 0 AS INTEGER) FROM lx l WHERE l.term_lower = lower(s.tok) AND l.class = {chr(39)}{c}{chr(39)}) AS is_{c}' for c in gazetteer.CLASSES)} FROM st s)"
-    return rf"""WITH {tokens}, nl AS (SELECT *, sum(CASE WHEN tok IN (chr(10), chr(13)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS l, sum(length(tok)) OVER (PARTITION BY doc_id) AS total FROM tk),
+    return rf"""WITH {tokens}, nl AS (SELECT *, sum(CASE WHEN tok IN (chr(10), chr(13)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS l, sum(length(tok)) OVER (PARTITION BY doc_id) AS total FROM {tk}),
 so AS (SELECT * FROM nl WHERE NOT regexp_matches(tok, '^\s$')),
 st AS (SELECT *, CASE WHEN row_number() OVER a = 1 THEN 'LINESTART' WHEN lead(1) OVER a IS NULL THEN 'LINEEND' ELSE 'LINEIN' END AS ls, CASE WHEN row_number() OVER b = 1 THEN 'BLOCKSTART' WHEN lead(1) OVER b IS NULL THEN 'BLOCKEND' ELSE 'BLOCKIN' END AS bs, CAST(least(floor(char_offset * 12 / greatest(total, 1)), 11) AS BIGINT) AS rp FROM so WINDOW a AS (PARTITION BY doc_id, l ORDER BY pos), b AS (PARTITION BY doc_id ORDER BY pos)),
 u AS (SELECT *, {_LEXICAL} FROM {source}) SELECT doc_id, pos, concat_ws(' ', {cols}) AS features FROM u"""
@@ -404,11 +404,3 @@ def vector_lexicon_flags(spark, d):
     return vector(table(spark, d, "documents"), "ner", lex=gazetteer.lexicon(LEX.df(spark)))
 
 
-SWAPS = Literal("doc_id bigint,kind string,original string,pseudo string", *((i, "name", o, p) for i in range(0, 40) for o, p in (("the", "Eht"), ("of", "F0"), ("in", "NI"), ("and", "xand"))))
-
-
-@query(vector_sql("medic", swap=SWAPS.sql))
-def vector_pseudonymised(spark, d):
-    """Tokens are swapped before features are derived, so that no feature shows the original."""
-    docs = table(spark, d, "documents")
-    return vector(docs, "medic", replaced=commands.pseudonyms(docs))

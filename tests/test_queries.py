@@ -6,6 +6,7 @@ import os
 import re
 import xml.etree.ElementTree as ET
 
+import literal_sql
 import pytest
 
 import docloom.plans.queries_docs as queries_docs
@@ -243,7 +244,7 @@ def test_operators_on_literals_against_sql(spark, duck, name):
         "label_sequences": lambda: K.sequences(labelled, ("settlement",), ("marker",)), "pseudonyms": lambda: pairs, "pseudonym_components": lambda: pseudonymize.components(pairs), "pseudonym_table": lambda: pseudonymize.pseudonym_map(q.PAIRS.df(spark)),
         "pseudonym_tsv": lambda: pseudonymize.tsv(pseudonymize.pseudonym_map(q.PAIRS.df(spark))), "collect_identifiers": lambda: pseudonymize.collect(q.RECORDS.df(spark), ["pers_name", "idno", "phone", "email", "date"]),
     }[name]()
-    assert table(got.toPandas()).equals(table(duck.execute(SQL[name]).df()))
+    assert table(got.toPandas()).equals(table(duck.execute(literal_sql.SQL[name]).df()))
 
 
 def test_page_window_has_pages_0_to_2(spark, tmp_path):
