@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialise
+from ._base import drop, materialise
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +31,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges``: columns u, v. Returns (node, root) for each node that is not the smallest of its component.
 
-    Each round writes the edges to the shared folder. Rounds grow with the logarithm of the longest path;
+    Each round writes the edges to the shared folder and deletes those of the round before. Rounds grow with the logarithm of the longest path;
     minima are pre-aggregated, so a hub costs no more than its edges. Self-loops and repeats are harmless.
     """
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        e = materialise(small, "edges")
+        e, old = materialise(small, "edges"), e
+        drop(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ._base import bound_batches, materialise, table, utf8
 from ._graph import connected_components, forest
+from ._words import mix
 
 U = np.uint64
 DISTANCE, DENSE = 3, 4096
+#: Flipped fingerprints, and links, that a task holds at once.
+FLIPPED = 1 << 22
 _PAIRS = "u long, v long, key long"
 _ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
 
@@ -46,16 +49,18 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(U)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each text as a signed long; null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns in ``keep``: the fingerprint of each text as a signed long; null texts count as empty."""
     bound_batches(docs.sparkSession)
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in utf8(b.column("text"))], U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *(b.column(c) for c in keep)], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 def _flips() -> tuple[np.ndarray, np.ndarray]:
@@ -77,28 +82,36 @@ def close_pairs(fp: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndar
                 x, y = forest(np.concatenate(a), np.concatenate(b))
                 a, b = [x], [y]
     else:
-        # a and b are within 3 bits exactly when some a ^ x equals some b ^ y, |x| <= 2 and |y| <= 1.
+        # a and b are within 3 bits exactly when some a ^ x equals some b ^ y, |x| <= 1 and |y| <= 2. The values are
+        # gone through in shares of the same hash, so that memory doesn't grow with 65 copies of the bucket.
         one, two = _flips()
-        near = np.concatenate([fp] + [fp ^ x for x in one])
-        owner = np.tile(fp, 65)
-        order = np.argsort(near, kind="stable")
-        near, owner = near[order], owner[order]
-        # All owners of one flipped value are within 2 bits of each other: link them to the first.
-        first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
-        lead = np.repeat(owner[first], np.diff(np.r_[first, len(near)]))
-        x, y = forest(owner[owner != lead], lead[owner != lead])
-        a, b = [x], [y]
-        value, head = near[first], first
-        for flip in np.concatenate([[U(0)], one, two]):
-            seek = fp ^ flip
-            at = np.minimum(np.searchsorted(value, seek), len(value) - 1)
-            hit = np.flatnonzero(value[at] == seek)
-            # every owner of the value is within |flip| + 1 <= 3 bits of the seeker; the first stands for all, they are linked above
-            a.append(fp[hit])
-            b.append(owner[head[at[hit]]])
-            if sum(map(len, a)) > 1 << 22:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b = [x], [y]
+        shares = U(max(1, -(-65 * m // FLIPPED)))
+
+        def flipped(masks: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+            got = [(v[p], fp[p]) for v in (fp ^ x for x in masks) for p in (np.flatnonzero(mix(v) % shares == share),)]
+            return np.concatenate([v for v, _ in got]), np.concatenate([o for _, o in got])
+
+        for share in range(int(shares)):
+            near, owner = flipped(np.concatenate([[U(0)], one]), share)
+            order = np.argsort(near, kind="stable")
+            near, owner = near[order], owner[order]
+            # All owners of one flipped value are within 2 bits of each other: link them to the first.
+            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]]) if len(near) else np.zeros(0, np.int64)
+            lead = np.repeat(owner[first], np.diff(np.r_[first, len(near)]))
+            x, y = forest(owner[owner != lead], lead[owner != lead])
+            a.append(x)
+            b.append(y)
+            value, head = near[first], first
+            for masks in np.array_split(np.concatenate([[U(0)], one, two]), 64):
+                seek, by = flipped(masks, share)
+                at = np.minimum(np.searchsorted(value, seek), max(len(value) - 1, 0))
+                hit = np.flatnonzero(value[at] == seek) if len(value) else at[:0]
+                # every owner of the value is within |flip| + 1 <= 3 bits of the seeker; the first stands for all, they are linked above
+                a.append(by[hit])
+                b.append(owner[head[at[hit]]])
+                if sum(map(len, a)) > FLIPPED:
+                    x, y = forest(np.concatenate(a), np.concatenate(b))
+                    a, b = [x], [y]
     if not a:
         return np.zeros(0, U), np.zeros(0, U)
     a, b = np.concatenate(a), np.concatenate(b)
@@ -181,23 +194,24 @@ def near_components(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("fp"), F.col("root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, root) for each row of ``docs``, and its columns in ``keep``.
 
     Fingerprints within three bits are linked; component_id is the smallest id of all rows reachable over links, the
-    row itself included. Null and empty texts have fingerprint zero and link like any other. Rows with a null id come
-    back with their component; a component of null ids only has a null component_id. Repeated rows give repeated rows.
+    row itself included, and root the component's least fingerprint. Null and empty texts have fingerprint zero and link
+    like any other. Rows with a null id come back with their component; a component of null ids only has a null
+    component_id. Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    fp = materialise(fingerprints(docs, id_col, text_col, width), "fp")
-    ids = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    ids = materialise(ids, "ids")
-    roots = materialise(near_components(ids.select("fp")), "roots")
+    fp = materialise(fingerprints(docs, id_col, text_col, width, keep), "fp")
+    ids = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "ids")
+    roots = near_components(ids.select("fp"))
     whole = ids.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = whole.join(least, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = whole.join(least, "root").select("fp", "component_id", "root")
+    # A fingerprint that very many rows share is one key of this join; the planner splits it (skew join) or broadcasts the names.
+    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *keep)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents; see :func:`near_duplicates`."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
