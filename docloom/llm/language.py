@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import bound_batches, materialise, table, text_slices
+from ._base import BROADCAST_ROWS, bound_batches, materialise, table, text_slices
 from ._words import BYTE_HASH, Words, mix
 
 U = np.uint64
@@ -114,67 +114,116 @@ def text_evidence(docs: DataFrame, text_col: str, id_col: str, langs: list[str],
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(__id, declared, suffix, host) of the documents whose number ends the address of a page; the first page of a document counts."""
+    """(__id, pages) of the documents whose number ends the address of a page: (page_id, declared, suffix, host) of each of their pages, in the order of page_id."""
     number = F.regexp_extract("url", r"://[^/?#]*/(?:[^/?#]+/)*?([0-9]{1,18})(?:[./?#]|$)", 1)
     host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
-    rows = pages.select(
-        F.when(number != "", number.cast("long")).alias("__id"), "page_id", F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("declared"),
-        F.concat_ws("|", F.regexp_extract(host, r"([^.]*)$", 1), F.lower(F.regexp_extract("url", r"://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))).alias("suffix"), host.alias("host"),
-    )
-    first = rows.where("__id is not null").groupBy("__id").agg(F.min_by(F.struct("declared", "suffix", "host"), "page_id").alias("e"))
-    return first.select("__id", "e.declared", "e.suffix", "e.host")
-
-
-def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", group_col: str = "source", sample: int = SAMPLE) -> DataFrame:
-    """One row for each document: id, language ("und" if undecided), posterior, text_language, declared, host, accepted.
+    suffix = F.concat_ws("|", F.regexp_extract(host, r"([^.]*)$", 1), F.lower(F.regexp_extract("url", r"://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1)))
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    rows = pages.select(F.when(number != "", number.cast("long")).alias("__id"), F.struct("page_id", declared.alias("declared"), suffix.alias("suffix"), host.alias("host")).alias("p"))
+    return rows.where("__id is not null").groupBy("__id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
+
+
+def _add_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Rows with the totals of their key. Few keys are broadcast; of many, those that hold a thousandth of the weight or more, and the rest is joined by a shuffle."""
+    if totals.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(totals), key)
+    every = totals.agg(F.sum("weight")).first()[0]
+    heavy = F.broadcast(totals.where(F.col("weight") * 1000 >= every))
+    light = rows.join(heavy.select(key), key, "left_anti").join(totals, key)
+    return rows.join(heavy, key).unionByName(light)
+
+
+def identify(
+    docs: DataFrame,
+    pages: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "lang",
+    group_col: str = "source",
+    sample: int = SAMPLE,
+    train_on: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row for each document: doc_id, language ("und" if undecided), posterior, text_language, declared, host, accepted, and the columns in ``keep``.
 
     A document is rejected when it has no letters (by Unicode category) or its trigrams fit none of the languages; one that is only
     ambiguous gets its likeliest language and a low posterior. A language of the same script that no label names can still pass for its neighbour.
-    ``label_col`` is used to train only. Where no page tells a host, ``group_col`` stands for it. Null texts count as
-    empty and are rejected; without labelled rows all are "und". Ids may be null or repeat: each row gets its own answer.
+    ``label_col`` is used to train only, on rows of ``train_on`` where that is given. All pages of a document count: their evidence is averaged, and each
+    has an equal part of the document in the priors; declared and host are those of the first. Where no page tells a host, ``group_col`` stands for it. Null texts count as
+    empty and are rejected; without labelled rows all are "und". Ids may be null or repeat: each row gets its own answer. Whole texts count, however long.
     """
-    langs, model = train(docs, text_col, label_col, id_col, sample)
-    out = "language string, posterior double, text_language string, declared string, host string, accepted boolean"
+    langs, model = train(docs if train_on is None else train_on, text_col, label_col, id_col, sample)
+    names = ("doc_id", "language", "posterior", "text_language", "declared", "host", "accepted")
     if not langs:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), *(F.lit(None).cast("string").alias(c) for c in ("text_language", "declared", "host")), F.lit(False).alias("accepted"))
+        none = (F.lit(None).cast("string").alias(c) for c in ("text_language", "declared", "host"))
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), *none, F.lit(False).alias("accepted"), *keep)
     L = len(langs)
     arr = lambda f: F.array(*[f(k) for k in range(L)])
-    soft = lambda col: (lambda m: (lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))(F.transform(col, lambda x: F.exp(x - m))))(F.array_max(col))
-    scored = materialise(text_evidence(docs.withColumn("__group", F.col(group_col).cast("string")), text_col, id_col, langs, model, ("__group",)), "evidence")
-    scored = scored.withColumn("ll", arr(lambda k: F.col("like")[k] * TEMPER)).withColumn("post", soft(F.col("ll")))
-    if pages is not None:
-        scored = scored.join(page_evidence(pages), "__id", "left")
-    else:
-        scored = scored.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "host")})
-    scored = scored.withColumn("host", F.coalesce(F.nullif("host", F.lit("")), F.col("__group"), F.lit(""))).withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.coalesce("suffix", F.lit(""))).withColumn("declared", F.coalesce("declared", F.lit("")))
-    # A document's own part of the sums; arrays by language, so that plans grow with the number of languages and not with its square.
+
+    def soft(col: Column) -> Column:
+        e = F.transform(col, lambda x: F.exp(x - F.array_max(col)))
+        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+    # Names of the caller's columns don't meet those made here.
+    carried = [F.col(f"`{c}`").alias(f"__keep{k}") for k, c in enumerate(keep)]
+    held = tuple(f"__keep{k}" for k in range(len(keep)))
+    source = docs.select(F.col(id_col).alias("__in_id"), F.col(text_col).alias("__in_text"), F.col(group_col).cast("string").alias("__group"), *carried)
     chance = float(np.clip(known_grams(model).mean(), 1e-6, SEEN - 0.05))
     strange = F.col("seen") * F.lit(math.log(chance / SEEN)) + (F.col("grams") - F.col("seen")) * F.lit(math.log((1 - chance) / (1 - SEEN)))
+    scored = text_evidence(source, "__in_text", "__in_id", langs, model, ("__group", *held))
+    scored = scored.withColumn("ll", F.transform("like", lambda x: x * TEMPER)).withColumn("post", soft(F.col("ll")))
     scored = scored.withColumn("fits", F.col("letters") & (strange * TEMPER + F.lit(math.log(NONE)) <= 0))
-    scored = scored.withColumn("own", F.when(F.col("fits"), F.col("post")).otherwise(F.array(*[F.lit(0.0)] * L)))
+    # The number of a row is written with it, so that it stays the same.
+    scored = materialise(scored.drop("like", "letters", "grams", "seen").withColumn("__row", F.monotonically_increasing_id()), "evidence")
+    none = F.array(F.struct(F.lit(None).cast("long").alias("page_id"), F.lit("").alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("host")))
+    seen = scored.join(page_evidence(pages), "__id", "left") if pages is not None else scored.withColumn("pages", F.lit(None))
+    seen = seen.withColumn("pages", F.coalesce(F.col("pages").cast("array<struct<page_id:long,declared:string,suffix:string,host:string>>"), none))
+    host = lambda p: F.coalesce(F.nullif(p["host"], F.lit("")), F.col("__group"), F.lit(""))
+    # One row for each page of a document; most documents have one or none.
+    each = seen.withColumn("first_host", host(F.col("pages")[0])).withColumn("first_declared", F.col("pages")[0]["declared"])
+    each = each.withColumn("part", F.lit(1.0) / F.size("pages")).withColumn("p", F.explode("pages"))
+    each = each.withColumns({"host": host(F.col("p")), "suffix": F.coalesce("p.suffix", F.lit("")), "declared": F.coalesce("p.declared", F.lit(""))}).drop("p", "pages")
+    each = each.withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+    # A document's own part of the sums, by language; plans grow with the number of languages and not with its square.
+    own = F.transform("post", lambda x: x * F.col("part"))
+    each = each.withColumn("own", F.when(F.col("fits"), own).otherwise(F.array(*[F.lit(0.0)] * L)))
     total = lambda col, name: arr(lambda k: F.sum(F.col(col)[k])).alias(name)
-    # One grouping by all four gives the tables of each: hosts with their sites, suffixes, declared languages, all.
-    cells = materialise(scored.groupBy("host", "site", "suffix", "declared").agg(total("own", "n")), "cells")
-    hosts = cells.groupBy("host").agg(total("n", "h"))
-    sites = cells.groupBy("site").agg(total("n", "s"))
-    suffixes = cells.groupBy("suffix").agg(total("n", "x"))
+    # One grouping by all four gives the tables of each: hosts with their sites, suffixes, all.
+    cells = materialise(each.groupBy("host", "site", "suffix").agg(total("own", "n"), F.sum("part").alias("weight")), "cells")
     every = cells.agg(total("n", "a")).first()["a"]
     a = np.array([float(v or 0) for v in every])
     base = ((a + 1) / (a.sum() + L)).tolist()
-    joined = scored.join(hosts, "host").join(sites, "site").join(suffixes, "suffix")
+    joined = each
+    for key, c in (("host", "h"), ("site", "s"), ("suffix", "x")):
+        joined = _add_totals(joined, materialise(cells.groupBy(key).agg(total("n", c), F.sum("weight").alias("weight")), key), key).drop("weight")
     joined = joined.withColumn("base", F.array(*map(F.lit, base)))
     for c in ("h", "s", "x"):
         joined = joined.withColumn(c, F.zip_with(c, "own", lambda v, o: F.greatest(v - o, F.lit(0.0)))).withColumn(f"{c}n", F.aggregate(c, F.lit(0.0), lambda t, v: t + v))
     for prior, c, parent in (("sp", "s", "base"), ("hp", "h", "sp"), ("xp", "x", "base")):
         total_of = F.col(f"{c}n") + STRENGTH
         joined = joined.withColumn(prior, F.zip_with(c, parent, lambda v, q: (v + STRENGTH * q) / total_of))
-    declared = lambda k: F.when(~F.col("declared").isin(langs), 0.0).when(F.col("declared") == langs[k], F.log(F.lit(TRUST))).otherwise(F.log(F.lit((1 - TRUST) / max(L - 1, 1))))
+    said = F.col("declared").isin(langs)
+    declared = lambda k: F.when(~said, 0.0).when(F.col("declared") == langs[k], F.log(F.lit(TRUST))).otherwise(F.log(F.lit((1 - TRUST) / max(L - 1, 1))))
     suffix = lambda k: F.when(F.col("suffix") == "", 0.0).otherwise(F.log(F.col("xp")[k] / F.lit(base[k])))
-    fused = joined.withColumn("fused", soft(arr(lambda k: F.col("ll")[k] + F.log(F.col("hp")[k]) + suffix(k) + declared(k))))
+    joined = joined.withColumn("told", arr(lambda k: F.col("part") * (F.log(F.col("hp")[k]) + suffix(k) + declared(k))))
+    out = ("__row", "__id", "ll", "post", "fits", "first_host", "first_declared", *held)
+    # Pages of one document meet again; a document with one page needs no shuffle.
+    alone = joined.where("part = 1").select(*out, "told")
+    several = joined.where("part < 1").groupBy("__row").agg(*[F.any_value(c).alias(c) for c in out[1:]], total("told", "told"))
+    fused = alone.unionByName(several).withColumn("fused", soft(F.zip_with("ll", "told", lambda x, y: x + y)))
     best = F.array_max("fused")
     name = lambda col, top: F.element_at(F.array(*map(F.lit, langs)), F.array_position(col, top).cast("int"))
     sure = F.col("fits")
-    return fused.select(F.col("__id").alias("doc_id"), F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"), F.round(best, 6).alias("posterior"), F.when(sure, name(F.col("post"), F.array_max("post"))).alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"), "host", sure.alias("accepted")).select("doc_id", *[c.split()[0] for c in out.split(", ")])
+    return fused.select(
+        F.col("__id").alias("doc_id"),
+        F.when(sure, name(F.col("fused"), best)).otherwise("und").alias("language"),
+        F.round(best, 6).alias("posterior"),
+        F.when(sure, name(F.col("post"), F.array_max("post"))).alias("text_language"),
+        F.nullif("first_declared", F.lit("")).alias("declared"),
+        F.col("first_host").alias("host"),
+        sure.alias("accepted"),
+        *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)],
+    ).select(*names, *keep)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
