@@ -24,6 +24,8 @@ from ._base import bound_batches, table, text_slices, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: What an unknown piece reads as.
+UNKNOWN_TEXT = " \u2047 "
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -95,55 +97,106 @@ class PieceModel:
             raise ValueError("only unigram and BPE models are supported")
 
 
-def build(model: PieceModel):
-    """A ``tokenizers.Tokenizer`` that does what the model says."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+def build_normalizer(model: PieceModel):
+    """What the model does to a text before it is cut, or None where that is nothing."""
+    from tokenizers import Regex, normalizers
 
-    if model.kind == 1:
-        tok = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk, model.byte_fallback))
-    else:
-        normal = {p: (i, s) for i, (p, s, k) in enumerate(model.pieces) if k in (NORMAL, USER, UNUSED)}
-        merges = sorted((-s, normal[p[:k]][0], normal[p[k:]][0], p[:k], p[k:]) for p, (_, s) in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal)
-        tok = Tokenizer(models.BPE(vocab={p: i for i, (p, _, _) in enumerate(model.pieces)}, merges=[m[3:] for m in merges], unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.prefix:
         steps.append(normalizers.Prepend(MARK))
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
-    if steps:
-        tok.normalizer = normalizers.Sequence(steps)
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if model.prefix else []))
-    user = [AddedToken(p, normalized=True, special=False) for p, _, k in model.pieces if k == USER]
-    if user:
-        tok.add_tokens(user)
+    return normalizers.Sequence(steps) if steps else None
+
+
+def build(model: PieceModel, merged: tuple[int, ...] = (NORMAL, USER, UNUSED)):
+    """A ``tokenizers.Tokenizer`` over normalised texts that does what the model says.
+
+    Only normal and user-defined pieces can stand in a text. Unigram: control, unknown, byte and unused pieces get a name
+    that texts don't have and so keep their ids; a user-defined piece scores as its bytes times the best score, as the
+    model's own library has it, and so is taken whole; unknown characters come out as the unknown piece, and
+    :class:`Codec` puts their bytes. BPE: unused pieces merge and are taken apart again by the codec.
+    """
+    from tokenizers import AddedToken, Tokenizer, decoders, models
+
+    if model.kind == 1:
+        normal = [s for _, s, k in model.pieces if k == NORMAL]
+        best, least = max(normal, default=0.0), min(normal, default=0.0)
+        score = {NORMAL: lambda p, s: s, USER: lambda p, s: len(p.encode()) * best - 0.1}
+        hidden = lambda i: f"\U0010ffff\U0010fffe{i}\U0010ffff"
+        vocab = [(p, score[k](p, s)) if k in score else (hidden(i), least) for i, (p, s, k) in enumerate(model.pieces)]
+        tok = Tokenizer(models.Unigram(vocab, model.unk, False))
+    else:
+        normal = {p: (i, s) for i, (p, s, k) in enumerate(model.pieces) if k in merged}
+        merges = sorted((-s, normal[p[:k]][0], normal[p[k:]][0], p[:k], p[k:]) for p, (_, s) in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal)
+        vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
+        tok = Tokenizer(models.BPE(vocab=vocab, merges=[m[3:] for m in merges], unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback))
+        user = [AddedToken(p, normalized=False, special=False) for p, _, k in model.pieces if k == USER]
+        if user:
+            tok.add_tokens(user)
+    lead = [decoders.Strip(" ", 1, 0)] if model.prefix else []
+    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *lead])
     return tok
 
 
+def unused_parts(model: PieceModel) -> dict[int, list[int]]:
+    """Ids of unused BPE pieces, and the ids that their text has by the merges of all other pieces."""
+    unused = [(i, p) for i, (p, _, k) in enumerate(model.pieces) if k == UNUSED]
+    if model.kind != 2 or not unused:
+        return {}
+    tok = build(model, (NORMAL, USER))
+    return {i: ids for i, p in unused for ids in [tok.encode(p, add_special_tokens=False).ids] if ids != [i]}
+
+
 class Codec:
-    """Encoder and decoder of one process. ``held`` distinct words stay known between batches."""
+    """Encoder and decoder of one process. Distinct words stay known between batches, up to ``held`` words and ``held_bytes`` of text."""
 
-    def __init__(self, data: bytes, threads: int = 2, held: int = 500_000, parity: bool = True):
+    def __init__(self, data: bytes, threads: int = 2, held: int = 500_000, held_bytes: int = 32 << 20, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
         self.model = PieceModel(data)
-        self.tok = build(self.model)
+        self.tok, self.normalizer = build(self.model), build_normalizer(self.model)
+        self.parts = unused_parts(self.model)
+        kinds = self.model.pieces
+        self.bytes = [i for _, i in sorted((int(p[3:5], 16), i) for i, (p, _, k) in enumerate(kinds) if k == BYTE)]
+        self.fallback = self.model.kind == 1 and self.model.byte_fallback and len(self.bytes) == 256
+        self.surface = [MARK.join(p.split(" ")) if k in (NORMAL, USER, UNUSED) else "" for p, _, k in kinds]
+        self.byte_of = {i: n for n, i in enumerate(self.bytes)}
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data) if parity else None
         plain = not self.model.charsmap and not self.model.squeeze and self.model.prefix and self.model.escape
-        inner = any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER, UNUSED))
+        inner = any(MARK in p.lstrip(MARK) for p, _, k in kinds if k in (NORMAL, USER, UNUSED)) or any(k == USER for _, _, k in kinds)
         self.by_word = plain and not inner
-        self.held, self.words = held, {}
+        self.held, self.held_bytes, self.words, self.known_bytes = held, held_bytes, {}, 0
         self._reset()
 
     def _reset(self) -> None:
         self.words.clear()
+        self.known_bytes = 0
         self.ids, self.size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         self.fine = [np.zeros(0, bool)]
         self.flat = None
 
+    def tokens(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, through the normaliser and the model on several threads."""
+        normal = [self.normalizer.normalize_str(t) for t in texts] if self.normalizer is not None else texts
+        if self.fallback:
+            out = []
+            for text, e in zip(normal, self.tok.encode_batch(normal, add_special_tokens=False), strict=True):
+                ids = e.ids
+                if self.model.unk in ids:
+                    spans = zip(ids, e.offsets, strict=True)
+                    ids = [x for i, (a, b) in spans for x in ([self.bytes[n] for n in text[a:b].encode()] if i == self.model.unk else (i,))]
+                out.append(ids)
+            return out
+        got = [e.ids for e in self.tok.encode_batch_fast(normal, add_special_tokens=False)]
+        if self.parts:
+            got = [[x for i in ids for x in self.parts.get(i, (i,))] for ids in got]
+        return got
+
     def _split(self, text: str) -> list[str]:
         """Marked words, without the first mark: 'a  b' gives 'a' and MARK + 'b'."""
         if not text:
@@ -164,7 +217,8 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         texts = [w.replace(MARK, " ") for w in new]
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        got = self.tokens(texts)
+        self.known_bytes += sum(map(len, new))
         # The empty word is a lone mark, which a text only has behind other words.
         mark = self.tok.token_to_id(MARK)
         for k, w in enumerate(new):
@@ -173,21 +227,25 @@ class Codec:
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.ids.append(np.fromiter((i for x in got for i in x), np.int32, int(size.sum())))
         self.size.append(size)
-        fine = np.array([a == b for a, b in zip(self.tok.decode_batch(got, skip_special_tokens=False), texts, strict=True)], bool)
+        fine = np.array([a == b for a, b in zip(self.decode(got), texts, strict=True)], bool)
         if self.reference is not None:
             fine &= np.array([not w or a == b for w, a, b in zip(new, got, self.reference.encode(texts, num_threads=1), strict=True)], bool)
         self.fine.append(fine)
         self.flat = None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets, whether each text agrees with the sentencepiece library and decodes to itself)."""
+        """(ids of all texts, offsets, whether each text agrees: same ids as the sentencepiece library gives, and they decode to the same text as there, whole words to themselves)."""
         if not self.by_word:
-            got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            got = self.tokens(texts)
             size = np.fromiter(map(len, got), np.int64, len(got))
-            want = self.reference.encode(texts, num_threads=1) if self.reference is not None else got
             flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
-            return flat, np.r_[0, np.cumsum(size)], np.array([a == b for a, b in zip(got, want, strict=True)], bool)
-        if len(self.words) > self.held:
+            fine = np.ones(len(got), bool)
+            if self.reference is not None:
+                want = self.reference.encode(texts, num_threads=1)
+                back = [self.reference.decode(x) for x in want]
+                fine = np.array([a == b and c == d for a, b, c, d in zip(got, want, self.decode(got), back, strict=True)], bool)
+            return flat, np.r_[0, np.cumsum(size)], fine
+        if len(self.words) > self.held or self.known_bytes > self.held_bytes:
             self._reset()
         words, index, new = self.words, [], []
         counts = np.zeros(len(texts), np.int64)
@@ -216,7 +274,24 @@ class Codec:
         return self.ids[0][take], offsets, np.diff(wrong) == 0
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        if self.model.kind != 1:
+            return self.tok.decode_batch(ids, skip_special_tokens=False)
+        return [self._text(x) for x in ids]
+
+    def _text(self, ids: list[int]) -> str:
+        """The text of unigram ids: control pieces are nothing, the unknown piece a mark of its own, runs of byte pieces UTF-8."""
+        out, run = [], bytearray()
+        for i in ids:
+            if not 0 <= i < len(self.surface):
+                continue
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                continue
+            out.append(run.decode(errors="replace"))
+            run.clear()
+            out.append(UNKNOWN_TEXT if i == self.model.unk else self.surface[i])
+        text = "".join([*out, run.decode(errors="replace")]).replace(MARK, " ")
+        return text.removeprefix(" ") if self.model.prefix else text
 
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:

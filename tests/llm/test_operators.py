@@ -248,32 +248,66 @@ def test_pieces_parity_and_round_trip(spark):
     assert pieces.encode_column(empty(spark)).count() == 0
 
 
-def test_unigram_model_is_rebuilt():
-    """A hand-made unigram protobuf with byte fallback, against the sentencepiece library."""
+def hand_made_model(kind=1, fallback=True, user=(), unused=(), squeeze=False, normal=None):
+    """The protobuf of a small model."""
     import struct
 
-    import sentencepiece
-
-    def field(n, kind, payload):
-        size = bytes([len(payload)]) if kind == 2 and len(payload) < 128 else b""
-        return bytes([n << 3 | kind]) + size + payload
+    def field(n, wire, payload):
+        size = bytes([len(payload)]) if wire == 2 and len(payload) < 128 else b""
+        return bytes([n << 3 | wire]) + size + payload
 
-    def piece(text, score, kind):
-        body = field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind]))
+    def piece(text, score, what):
+        body = field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([what]))
         return field(1, 2, body)
 
-    data = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
-    for k, p in enumerate(["▁", "a", "b", "▁a", "ab", "▁ab", "ba", "bab", "c"]):
+    data = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    data += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) if fallback else b""
+    for k, p in enumerate(normal or ["▁", "a", "b", "▁a", "ab", "▁ab", "ba", "bab", "c", "<", ">", "s", "0", "x", "4", "1"]):
         data += piece(p, -1.0 - 0.37 * k, 1)
-    trainer = field(3, 0, b"\x01") + bytes([35 << 3 & 0x7F | 0x80, 35 << 3 >> 7]) + b"\x01"
-    normal = field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01")
-    data += field(2, 2, trainer) + field(3, 2, normal)
+    data += b"".join(piece(p, 0.0, 4) for p in user) + b"".join(piece(p, -0.5 - 0.01 * k, 5) for k, p in enumerate(unused))
+    trainer = field(3, 0, bytes([kind])) + bytes([35 << 3 & 0x7F | 0x80, 35 << 3 >> 7]) + bytes([fallback])
+    rules = field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, bytes([squeeze])) + field(5, 0, b"\x01")
+    return data + field(2, 2, trainer) + field(3, 2, rules)
+
+
+ODD_PIECES = ["ab", "abab ba", "c  ab", "", "babab cab é", "a b", "<s>", "a<s>b </s>", "<0x41>", "<unk> a", "abc", "xabcx", "é日<0x41>é", "  a  ", "a\u2581b", "<sep>", "a<sep>b <sep><sep> c", "\n\t\x00", "zzz", "🙂🙂a"]
+
+
+@pytest.mark.parametrize("how", [{}, {"fallback": False}, {"unused": ("abc", "xabcx")}, {"user": ("<sep>",)}, {"user": ("<sep>", "▁c"), "unused": ("abc",), "fallback": False}, {"squeeze": True, "user": ("<sep>",)}])
+def test_unigram_model_is_rebuilt(how):
+    """Hand-made unigram protobufs, against the sentencepiece library: control, byte and unused pieces stand in no text."""
+    import sentencepiece
+
+    data = hand_made_model(**how)
     sp = sentencepiece.SentencePieceProcessor(model_proto=data)
     codec = pieces.Codec(data)
-    assert codec.model.kind == 1 and codec.model.byte_fallback
-    for t in ["ab", "abab ba", "c  ab", "", "babab cab é", "a b"]:
-        ids, offsets, _ = codec.encode([t])
+    assert codec.model.kind == 1 and codec.model.byte_fallback == how.get("fallback", True)
+    rng = random.Random(5)
+    for t in ODD_PIECES + ["".join(rng.choice("ab c<s>x041é") for _ in range(rng.randrange(30))) for _ in range(300)]:
+        ids, _, agrees = codec.encode([t])
         assert ids.tolist() == sp.encode(t), t
+        assert agrees[0] or codec.by_word, t
+        assert codec.decode([ids.tolist()])[0] == sp.decode(ids.tolist()), t
+
+
+@pytest.mark.parametrize("how", [{}, {"unused": ("bab", "xab")}, {"user": ("<sep>",)}])
+def test_bpe_model_is_rebuilt(how):
+    import sentencepiece
+
+    normal = ["ab", "▁a", "▁ab", "ba", "xa", "a", "b", "c", "x", "▁", "<", ">", "s", "e", "p", "0", "4", "1"]
+    data = hand_made_model(kind=2, normal=normal, **how)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = pieces.Codec(data)
+    rng = random.Random(6)
+    for t in ODD_PIECES + ["".join(rng.choice("ab cx") for _ in range(rng.randrange(30))) for _ in range(300)]:
+        assert codec.encode([t])[0].tolist() == sp.encode(t), t
+
+
+def test_known_words_are_bounded_by_their_bytes():
+    codec = pieces.Codec(open(pieces.MODEL, "rb").read(), held_bytes=1000)
+    for k in range(20):
+        ids, _, fine = codec.encode([f"{k}" * 300])
+        assert fine.all() and codec.known_bytes <= 1000 + 600
 
 
 def test_mixing(spark):
