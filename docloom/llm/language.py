@@ -153,7 +153,6 @@ def identify(
     empty and are rejected; without labelled rows all are "und". Ids may be null or repeat: each row gets its own answer. Whole texts count, however long.
     """
     langs, model = train(docs if train_on is None else train_on, text_col, label_col, id_col, sample)
-    names = ("doc_id", "language", "posterior", "text_language", "declared", "host", "accepted")
     if not langs:
         none = (F.lit(None).cast("string").alias(c) for c in ("text_language", "declared", "host"))
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), *none, F.lit(False).alias("accepted"), *keep)
@@ -223,7 +222,7 @@ def identify(
         F.col("first_host").alias("host"),
         sure.alias("accepted"),
         *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)],
-    ).select(*names, *keep)
+    )
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

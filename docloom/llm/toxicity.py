@@ -19,8 +19,9 @@ from ._base import bound_batches, table, text_slices
 from ._words import Words
 
 U = np.uint64
-#: At most about so many labelled rows are learnt from, picked by a hash of the id; a fifth of them sets the logistic fit.
-SAMPLE, FOLDS = 8000, 5
+#: At most about so many labelled rows and bytes of them are learnt from, picked by a hash of the id; a fifth of the rows sets the
+#: logistic fit. The bytes bound the distinct 6-grams that the driver holds.
+SAMPLE, SAMPLE_BYTES, FOLDS = 8000, 64 << 20, 5
 ORDER, SHARED, DISCOUNT, CUT, THRESHOLD = 6, 3, 0.75, 4.0, 0.3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -162,13 +163,20 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[KneserNey, Logistic]:
-    """Fit on labelled rows that are not held out. Rows without a label, id or text teach nothing; of repeated labels the greatest counts."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[KneserNey, Logistic]:
+    """Fit on labelled rows that are not held out, at most about ``sample`` rows with ``sample_bytes`` bytes of text.
+
+    Rows without a label, id or text teach nothing; of repeated labels the greatest counts, and of rows that repeat an id
+    each is learnt from. Without labels, or with one kind only, all scores are one rate. Other columns are ignored.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample / max(known.count(), 1))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    picked = known.where(place < int(min(1.0, sample / max(known.count(), 1)) * (1 << 20)))
+    size = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).alias("n")).join(F.broadcast(picked), "doc_id").agg(F.sum("n")).first()[0] or 0
+    if size > sample_bytes:
+        picked = picked.where(place * size < F.lit(sample_bytes) * (1 << 20) * min(1.0, sample / max(known.count(), 1)))
     # Bounded by the sample: two numbers a row.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
@@ -200,7 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Kne
 
 
 def score(docs: DataFrame, model: KneserNey, fit: Logistic, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``. Null texts count as empty; rows with a null id are scored and are not held out."""
+    """doc_id, held_out, score, predicted for each row of ``docs``, repeated ones too; whole texts are read.
+
+    Null texts count as empty; rows with a null id are scored and are not held out. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast((model, fit))

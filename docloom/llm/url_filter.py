@@ -2,6 +2,10 @@
 
 Features are length, depth, digit ratio, entropy, parameter counts and statistics of the address suffix. The trees are
 fitted on a bounded sample of labelled URLs; suffix counts cover all rows, in a fixed number of hash buckets.
+
+Rates by suffix and site come from labels. Every URL belongs to a fold by the document it leads to, and its rates are
+taken from the labels of the other folds, when trees are fitted and when URLs are judged: no URL meets its own label in
+its features. The number of trees is the one with the least loss on a fold that was held back.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from ._base import bound_batches, materialise, table
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SAMPLE, BUCKETS, PRIOR = 20_000, 4096, 20.0
+SAMPLE, BUCKETS, PRIOR, FOLDS = 20_000, 4096, 20.0, 5
 NAMES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "params", "query_length", "hyphens", "symbols", "suffix_rate", "suffix_share", "site_rate")
 
 
@@ -45,7 +49,12 @@ class Trees:
         self.n, self.depth, self.rate, self.bins, self.leaf, self.ridge = trees, depth, rate, bins, leaf, ridge
         self.base, self.cuts, self.trees = 0.0, [], []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> Trees:
+        """Boost on all rows; with ``held`` (a flag by row), only up to the number of trees, maybe none, that serves the held-back rows best when fitted on the others."""
+        if held is not None and held.any() and not held.all():
+            trial = Trees(self.n, self.depth, self.rate, self.bins, self.leaf, self.ridge).fit(x[~held], y[~held])
+            losses = [_loss(y[held], f) for f in trial.margins(x[held])]
+            return Trees(int(np.argmin(losses)), self.depth, self.rate, self.bins, self.leaf, self.ridge).fit(x, y)
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.02
         self.base = float(np.log(rate / (1 - rate)))
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T] if len(x) else [np.zeros(0)] * len(NAMES)
@@ -86,18 +95,28 @@ class Trees:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, col, side="left") for c, col in zip(self.cuts, x.T, strict=True)], 1) if len(x) else np.zeros(x.shape, np.int64)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Log-odds of the rows with no tree, one, two ..."""
         b, f = self._bin(x), np.full(len(x), self.base)
         rows = np.arange(len(x))
+        yield f
         for column, cut, value in self.trees:
             node = np.zeros(len(x), np.int64)
             for level in range(self.depth):
                 at = (1 << level) - 1 + node
                 node = 2 * node + ((column[at] >= 0) & (b[rows, np.maximum(column[at], 0)] > cut[at]))
-            f += value[node]
+            f = f + value[node]
+            yield f
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        *_, f = self.margins(x)
         return 1 / (1 + np.exp(-f))
 
 
+def _loss(y: np.ndarray, margin: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -margin, margin)).mean())
+
+
 def _entropy(data: bytes) -> float:
     if not data:
         return 0.0
@@ -115,44 +134,62 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
     return [len(url), len(host), len(path), path.count("/"), host.count(".") + bool(host), sum(map(str.isdigit, url)) / size, _entropy(data), sum(1 for x in query.split("&") if x), len(query), url.count("-"), sum(not c.isalnum() for c in url) / size]
 
 
+def _number(url: Column) -> Column:
+    """The number that ends an address, that of the document it leads to; empty without one."""
+    return F.regexp_extract(url, r"://[^/?#]*/(?:[^/?#]+/)*?([0-9]{1,18})(?:[./?#]|$)", 1)
+
+
 def _with_buckets(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     host, path = address(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    group = F.coalesce(F.nullif(_number(F.col("url")), F.lit("")), F.col("url"), F.lit(""))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(group, F.lit("fold")), F.lit(FOLDS)).cast("int"))
     return rows.withColumn("suffix", bucket(F.regexp_extract("host", r"([^.]*)$", 1))).withColumn("site", bucket(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
 
 
 def fit_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> tuple[Trees, np.ndarray]:
-    """``labels``: (page_id, bad). Returns the trees and, for each of the suffix buckets, its bad rate, its share of all rows, and the site bucket's bad rate."""
+    """``labels``: (page_id, bad). Returns the trees and, for each fold and suffix bucket, the bad rate outside the fold, the share of all rows, and the site bucket's bad rate outside the fold.
+
+    Null ids and labels teach nothing; of repeated labels the worst counts; rows that repeat a page_id are rows like others.
+    Without labels no URL is bad beyond a small prior, and the trees are none.
+    """
     rows = _with_buckets(pages, id_col, url_col)
     known = rows.join(labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad")), "page_id")
     known = materialise(known, "urls")
-    stats = np.zeros((BUCKETS, 3))
-    n, bad = 0, 0
+    stats = np.zeros((FOLDS, BUCKETS, 3))
+    n = 0
     for kind, place in (("suffix", 0), ("site", 2)):
-        counts = known.groupBy(kind).agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).collect()
-        n, bad = sum(r["n"] for r in counts), sum(r["bad"] for r in counts)
-        rate = (bad + 0.5) / (n + 1)
-        stats[:, place] = rate
-        for r in counts:
-            stats[r[kind], place] = (r["bad"] + PRIOR * rate) / (r["n"] + PRIOR)
+        # At most as many cells as buckets and folds.
+        counts = np.zeros((FOLDS, BUCKETS, 2))
+        for r in known.groupBy("fold", kind).agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).collect():
+            counts[r["fold"], r[kind]] = r["n"], r["bad"]
+        n = int(counts[:, :, 0].sum())
+        others = counts.sum(0, keepdims=True) - counts
+        rate = ((others[:, :, 1].sum(1) + 0.5) / (others[:, :, 0].sum(1) + 1))[:, None]
+        stats[:, :, place] = (others[:, :, 1] + PRIOR * rate) / (others[:, :, 0] + PRIOR)
     seen = rows.groupBy("suffix").count().collect()
     every = sum(r["count"] for r in seen)
     for r in seen:
-        stats[r["suffix"], 1] = r["count"] / every
+        stats[:, r["suffix"], 1] = r["count"] / every
     share = min(1.0, sample / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("page_id", F.lit("urls")), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("page_id", "url").toPandas()
-    x = _features(picked["url"].tolist(), picked["host"].tolist(), picked["path"].tolist(), picked["suffix"].to_numpy(int), picked["site"].to_numpy(int), stats)
-    return Trees().fit(x, picked["bad"].to_numpy(float)), stats
+    fold = picked["fold"].to_numpy(int)
+    x = _features(picked["url"].tolist(), picked["host"].tolist(), picked["path"].tolist(), fold, picked["suffix"].to_numpy(int), picked["site"].to_numpy(int), stats)
+    return Trees().fit(x, picked["bad"].to_numpy(float), fold == 0), stats
 
 
-def _features(url: list, host: list, path: list, suffix: np.ndarray, site: np.ndarray, stats: np.ndarray) -> np.ndarray:
+def _features(url: list, host: list, path: list, fold: np.ndarray, suffix: np.ndarray, site: np.ndarray, stats: np.ndarray) -> np.ndarray:
     own = np.array([lexical(*r) for r in zip(url, host, path, strict=True)], float).reshape(-1, len(NAMES) - 3)
-    return np.c_[own, stats[suffix, 0], stats[suffix, 1], stats[site, 2]]
+    return np.c_[own, stats[fold, suffix, 0], stats[fold, suffix, 1], stats[fold, site, 2]]
 
 
 def judge(pages: DataFrame, model: Trees, stats: np.ndarray, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, score for each row. A rule's verdict stands; else "block" from ``threshold`` on. Null URLs have empty host and path and are scored like others."""
+    """page_id, host, path, rule, verdict, score for each row.
+
+    A rule's verdict stands; else "block" from ``threshold`` on. Null URLs have empty host and path and are scored like
+    others; null and repeated ids come back as they are, a row each. Long URLs are read whole. An empty table gives an empty result.
+    """
     spark = pages.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast((model, stats))
@@ -164,17 +201,17 @@ def judge(pages: DataFrame, model: Trees, stats: np.ndarray, id_col: str = "page
         model, stats = shared.value
         for b in batches:
             col = {c: b.column(c) for c in b.schema.names}
-            x = _features(col["url"].to_pylist(), col["host"].to_pylist(), col["path"].to_pylist(), col["suffix"].to_numpy(), col["site"].to_numpy(), stats)
-            p = model.score(x)
-            ruled = col["verdict"].to_pylist()
-            yield pa.RecordBatch.from_arrays([col["page_id"], col["host"], col["path"], col["rule"], pa.array([v or ("block" if s >= threshold else "allow") for v, s in zip(ruled, p, strict=True)], pa.string()), pa.array(p)], names=["page_id", "host", "path", "rule", "verdict", "score"])
+            place = (col[c].to_numpy() for c in ("fold", "suffix", "site"))
+            p = model.score(_features(col["url"].to_pylist(), col["host"].to_pylist(), col["path"].to_pylist(), *place, stats))
+            told = [v or ("block" if s >= threshold else "allow") for v, s in zip(col["verdict"].to_pylist(), p, strict=True)]
+            yield pa.RecordBatch.from_arrays([col["page_id"], col["host"], col["path"], col["rule"], pa.array(told, pa.string()), pa.array(p)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, bad): the quality label of the document whose number ends a page's address; low quality is bad."""
-    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^/?#]+/)*?([0-9]{1,18})(?:[./?#]|$)", 1)
+    number = _number(F.col("url"))
     keyed = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null")
     return keyed.join(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").select("page_id", (F.col("quality") == 0).cast("int").alias("bad"))
 

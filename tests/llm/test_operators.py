@@ -393,7 +393,7 @@ def test_url_rules_and_trees(spark):
     urls = ["http://a.net/x", "https://A.Example.NET/en/1", "http://example.net/en", "http://example.net", "https://x.example.com/de/1?x=1", "https://example.com/fr/1", "ftp://q.org/fr/", "http://notorg/fr/x", "no scheme", None, "", "http://x.org?fr/", "HTTP://ORG/fr/#z", "http://a://b.net/", "http://xnet/"]
     pages = spark.createDataFrame([(i, u, "k", 1) for i, u in enumerate(urls)], "page_id long, url string, suffix string, bad int")
     model = url_filter.Trees().fit(np.zeros((0, len(url_filter.NAMES))), np.zeros(0))
-    out = {r["page_id"]: r.asDict() for r in url_filter.judge(pages, model, np.zeros((url_filter.BUCKETS, 3))).collect()}
+    out = {r["page_id"]: r.asDict() for r in url_filter.judge(pages, model, np.zeros((url_filter.FOLDS, url_filter.BUCKETS, 3))).collect()}
     for i, u in enumerate(urls):
         head, sep, rest = (u or "").partition("://")
         host = re.match(r"[^/?#]*", rest)[0] if sep else ""
@@ -402,7 +402,7 @@ def test_url_rules_and_trees(spark):
         fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
         assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, rule, verdict), u
-    assert url_filter.judge(pages.limit(0), model, np.zeros((url_filter.BUCKETS, 3))).count() == 0
+    assert url_filter.judge(pages.limit(0), model, np.zeros((url_filter.FOLDS, url_filter.BUCKETS, 3))).count() == 0
 
 
 def test_trees_learn_from_urls(spark):
@@ -419,6 +419,151 @@ def test_trees_learn_from_urls(spark):
     assert ((got["verdict"] == "block") == (got["bad"] == 1)).mean() > 0.97
 
 
+def slow_trees(x, y, trees, depth, rate, bins, ridge, least):
+    """Boosting by trying each feature and each of its cuts at every node; a function from a row to its log-odds."""
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for c in x.T]
+    base = float(np.log((y.sum() + 0.5) / (len(y) + 1) / (1 - (y.sum() + 0.5) / (len(y) + 1))))
+    margin, grown = [base] * len(y), []
+
+    def grow(rows, level, g, h):
+        G, H = sum(g[r] for r in rows), sum(h[r] for r in rows)
+        best = (1e-9, None, None)
+        if level < depth:
+            for k in range(x.shape[1]):
+                for c in cuts[k]:
+                    left = [r for r in rows if x[r, k] <= c]
+                    gl, hl = sum(g[r] for r in left), sum(h[r] for r in left)
+                    if hl < least or H - hl < least:
+                        continue
+                    gain = gl**2 / (hl + ridge) + (G - gl) ** 2 / (H - hl + ridge) - G**2 / (H + ridge)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, k, c)
+        if best[1] is None:
+            return rate * G / (H + ridge)
+        _, k, c = best
+        return k, c, grow([r for r in rows if x[r, k] <= c], level + 1, g, h), grow([r for r in rows if x[r, k] > c], level + 1, g, h)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        grown.append(grow(range(len(y)), 0, [a - b for a, b in zip(y, p, strict=True)], [a * (1 - a) for a in p]))
+        margin = [m + walk(grown[-1], row) for m, row in zip(margin, x, strict=True)]
+    return lambda row: base + sum(walk(t, row) for t in grown)
+
+
+def test_trees_against_a_slow_version():
+    rng = np.random.RandomState(4)
+    x = np.c_[rng.rand(150), rng.randint(0, 4, 150), rng.rand(150)]
+    y = ((x[:, 0] > 0.6) ^ (x[:, 1] > 1) ^ (rng.rand(150) < 0.1)).astype(float)
+    fast = url_filter.Trees(6, 3, 0.2, 8, 10.0, 1.0).fit(x, y)
+    slow = slow_trees(x, y, 6, 3, 0.2, 8, 1.0, 1.0)
+    assert np.allclose([slow(r) for r in x], list(fast.margins(x))[-1])
+    # noise alone grows no tree that serves rows held back
+    noise = url_filter.Trees(30).fit(x, rng.randint(0, 2, 150).astype(float), np.arange(150) % 3 == 0)
+    assert len(noise.trees) <= 3
+
+
+def test_url_query_and_odd_rows(spark, tmp_path):
+    """No URL meets its own label; nulls, repeats, long URLs, clashing names and empty tables have rows and don't break one."""
+    rng = random.Random(9)
+    rows = [(i, f"https://h{rng.randrange(40)}.{rng.choice(['com', 'org', 'xyz'])}/{rng.choice(['en', 'fr'])}/{i}.html") for i in range(300)]
+    odd = [(None, "http://a.com/1"), (5, "http://b.com/5"), (5, "http://b.com/5"), (900, None), (901, ""), (902, "http://x.com/" + "a" * 100_000), (903, "http://é.com/ü?ß=1")]
+    pages = spark.createDataFrame([(*r, "h", 1, 0) for r in rows + odd], "page_id long, url string, html string, fold int, bad int")
+    labels = [(i, rng.randrange(2), None) for i in range(200)] + [(3, 0, 1), (None, 1, 1), (700, None, 1)]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = rows_of(url_filter.op3_url_trees(spark, str(tmp_path)))
+    assert sorted(map(str, (r["page_id"] for r in out))) == sorted(str(r[0]) for r in rows + odd)
+    assert all(0 <= r["score"] <= 1 and r["verdict"] in ("allow", "block") for r in out)
+    # the rates of a fold don't change with the labels inside it
+    of = {r["page_id"]: r["fold"] for r in url_filter._with_buckets(pages, "page_id", "url").where("page_id < 200").collect()}
+    lab = [(i, i % 2) for i in range(200)]
+    turned = [(i, 1 - b if of[i] == 2 else b) for i, b in lab]
+    first, second = (url_filter.fit_filter(pages, spark.createDataFrame(x, "page_id long, bad int"))[1] for x in (lab, turned))
+    assert np.allclose(first[2], second[2]) and not np.allclose(first[1], second[1])
+    none = url_filter.fit_filter(pages, spark.createDataFrame([], "page_id long, bad int"))
+    assert url_filter.judge(pages, *none).where("rule is null and verdict = 'block'").count() == 0
+    none = url_filter.fit_filter(pages.limit(0), spark.createDataFrame([], "page_id long, bad int"))
+    assert url_filter.judge(pages.limit(0), *none).count() == 0
+
+
+class SlowKneserNey:
+    """Interpolated Kneser-Ney over dictionaries: counts at order 6, numbers of bytes seen before below; orders 1 to 3 from both classes."""
+
+    def __init__(self, words):
+        self.full = {c: defaultdict(int) for c in (0, 1)}
+        for c, w in words:
+            s = b"\x02" * 5 + w + b"\x03"
+            for k in range(len(s) - 5):
+                self.full[c][s[k : k + 6]] += 1
+        self.tables = {}
+        for c in (0, 1):
+            every = set(self.full[0]) | set(self.full[1])
+            for n in range(1, 6):
+                seen = every if n <= 3 else set(self.full[c])
+                wide = {g[-n - 1 :] for g in seen}
+                self.tables[c, n] = defaultdict(int)
+                for g in wide:
+                    self.tables[c, n][g[1:]] += 1
+            self.tables[c, 6] = self.full[c]
+        self.totals = {k: self._by_context(t) for k, t in self.tables.items()}
+
+    @staticmethod
+    def _by_context(table):
+        out = defaultdict(lambda: [0, 0])
+        for g, v in table.items():
+            out[g[:-1]][0] += v
+            out[g[:-1]][1] += 1
+        return out
+
+    def p(self, c, gram):
+        below = 1 / 256
+        for n in range(1, 7):
+            g = gram[-n:]
+            total, kinds = self.totals[c, n].get(g[:-1], (0, 0))
+            if total:
+                below = max(self.tables[c, n].get(g, 0) - 0.75, 0) / total + 0.75 * kinds / total * below
+        return below
+
+
+def test_kneser_ney_against_a_slow_version():
+    rng = random.Random(12)
+    words = [(rng.randrange(2), "".join(rng.choices("abcé", k=rng.randrange(1, 9))).encode()) for _ in range(300)]
+    slow, found = SlowKneserNey(words), {c: defaultdict(int) for c in (0, 1)}
+    for c in (0, 1):
+        from docloom.llm._words import Words
+        import pyarrow as pa
+
+        text = pa.array([b" ".join(w for k, w in words if k == c).decode()])
+        ws = Words(text)
+        for g in toxicity._grams(ws, np.arange(len(ws.starts)))[0].tolist():
+            found[c][g] += 1
+    grams = sorted(set(found[0]) | set(found[1]))
+    # column 0 is toxic
+    model = toxicity.KneserNey(np.array(grams, np.uint64), np.array([[found[1][g], found[0][g]] for g in grams]))
+    asked = [bytes(rng.choices(b"\x02abc\x03", k=6)) for _ in range(200)] + list(slow.full[0])[:100]
+    toxic, plain = model.likelihoods(np.array([int.from_bytes(a, "big") for a in asked], np.uint64))
+    assert np.allclose(np.exp(toxic), [slow.p(1, a) for a in asked]) and np.allclose(np.exp(plain), [slow.p(0, a) for a in asked])
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Clashing names, long texts, repeated rows and labels: a row each, and of repeated labels the greatest counts."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(["foulbrute" if i % 4 == 0 and k % 5 == 0 else rng.choice(WORDS) for k in range(40)]), 1, "f", True, 0.5) for i in range(300)]
+    rows += [(500, "bar " * 200_000, 1, "f", True, 0.5), (500, "bar " * 200_000, 1, "f", True, 0.5), (501, "foulbrute " * 20_000, 0, "f", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold string, held_out boolean, score double")
+    once = [(i, int(i % 4 == 0)) for i in range(300)]
+    lab = lambda more: spark.createDataFrame(once + more, "doc_id long, toxic int").withColumn("fold", F.lit("x"))
+    out, again = (rows_of(toxicity.score(df, *toxicity.train(df, lab(more)))) for more in ([], [(i, 0) for i in range(300)] + once[:9]))
+    order = lambda rs: sorted((r["doc_id"], r["score"]) for r in rs)
+    assert len(out) == len(rows) and order(out) == order(again)
+    assert {r["predicted"] for r in out if r["doc_id"] == 501} == {1} and {r["predicted"] for r in out if r["doc_id"] == 500} == {0}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rude = ["vilewretch", "foulbrute", "scornfool"]
@@ -475,6 +620,162 @@ def test_language(spark):
     assert all(r["language"] == "und" for r in rows_of(language.identify(df.withColumn("lang", F.lit(None).cast("string")), None)))
 
 
+def test_language_against_a_slow_version(spark):
+    """Posteriors by hand, with several pages to a document, clashing names, repeated rows, null ids and a long text."""
+    import math
+
+    rng = random.Random(17)
+    vocab = {"en": ["the", "thing", "ther", "shon"], "fr": ["eaux", "ment", "que", "etion"], "de": ["sch", "ung", "keit", "der"]}
+    rows = [(i, " ".join(rng.choices(vocab[lang], k=rng.choice([1, 2, 30]))), lang, rng.choice(["s1", "s2", None])) for i, lang in enumerate(rng.choices(list(vocab), k=60))]
+    rows += [rows[0], (None, "the que", "en", "s1"), (60, "ung der " * 40_000, "de", "s2"), (61, "", "de", "s2")]
+    pages = [(k, f"https://h{rng.randrange(4)}.e{rng.randrange(2)}.{rng.choice(['org', 'fr'])}/{rng.choice(['en', 'fr', 'xx'])}/{rng.randrange(25)}.html", f"<html lang='{rng.choice(['en', 'fr', 'zz'])}'>") for k in range(45)]
+    df = spark.createDataFrame([(*r, "like", 1, "h", True, "r") for r in rows], "doc_id long, text string, lang string, source string, like string, __id int, host string, letters boolean, row string")
+    out = rows_of(language.identify(df, spark.createDataFrame(pages, "page_id long, url string, html string"), keep=("like", "row")))
+    langs, model = language.train(df, "text", "lang", "doc_id")
+    known = language.known_grams(model)
+    soft = lambda v: (lambda e: e / e.sum())(np.exp(v - v.max()))
+    texts_ = []
+    for i, t, _, source in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        code, ok = language._grams(data, np.array([0, len(data)]))
+        code = code[ok] if len(code) else code
+        ll = model[:, code].astype(float).sum(1) * language.TEMPER if len(code) else np.zeros(len(langs))
+        chance = min(max(known.mean(), 1e-6), language.SEEN - 0.05)
+        n, k = len(code), int(known[code].sum()) if len(code) else 0
+        odd = (k * math.log(chance / language.SEEN) + (n - k) * math.log((1 - chance) / (1 - language.SEEN))) * language.TEMPER + math.log(language.NONE)
+        mine = []
+        for _, url, html in pages:
+            m = re.match(r"https://([^/]*)/([a-z]{2})/([0-9]+)\.html", url)
+            if i is not None and int(m[3]) == i:
+                mine.append((m[1], m[1].rsplit(".", 1)[1] + "|" + m[2], re.search("'(..)'", html)[1]))
+        texts_.append((i, ll, soft(ll), bool(re.search("[a-z]", t or "")) and odd <= 0, [(source or "", "", "")] if not mine else mine))
+    site = lambda h: ".".join(h.split(".")[-2:]) if "." in h else ""
+    sums = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(3)]
+    for _, _, post, fits, seen in texts_:
+        for h, x, _ in seen:
+            for table, k in zip(sums, (h, site(h), x), strict=True):
+                table[k] += post / len(seen) * fits
+    every = sum((post for _, _, post, fits, _ in texts_ if fits), np.zeros(len(langs)))
+    base = (every + 1) / (every.sum() + len(langs))
+    want = []
+    for i, ll, post, fits, seen in texts_:
+        told = np.zeros(len(langs))
+        for h, x, said in seen:
+            own = post / len(seen) * fits
+            hs, ss, xs = (np.maximum(t[k] - own, 0) for t, k in zip(sums, (h, site(h), x), strict=True))
+            smooth = lambda v, q: (v + language.STRENGTH * q) / (v.sum() + language.STRENGTH)
+            one = np.log(smooth(hs, smooth(ss, base))) + (np.log(smooth(xs, base) / base) if x else 0)
+            if said in langs:
+                one = one + np.log([language.TRUST if a == said else (1 - language.TRUST) / (len(langs) - 1) for a in langs])
+            told += one / len(seen)
+        p = soft(ll + told)
+        want.append((key(i), langs[int(p.argmax())] if fits else "und", p.max(), fits))
+    got = sorted((key(r["doc_id"]), r["language"], r["posterior"], r["accepted"]) for r in out)
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in sorted(want)]
+    assert np.allclose([c for _, _, c, _ in got], [c for _, _, c, _ in sorted(want)], atol=2e-6)
+    assert all(r["host"] is not None for r in out) and {r["like"] for r in out} == {"like"}
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: each group of equal texts, and of near ones, keeps one row; a rejected row doesn't take others of its id along."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = [(5, "alpha beta"), (None, "alpha  beta"), (None, "unique"), (7, "alpha beta"), (7, "other"), (7, "other"), (None, "12 34"), (8, "12"), (8, "some words"), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", k // 9) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    texts_of = lambda d: sorted(((key(r["doc_id"]), r["text"]) for r in d.collect()), key=str)
+    stage = dict(corpus_pipeline.STAGES)
+    assert texts_of(stage["language ID"](spark, df, str(tmp_path))) == sorted([(key(i), t) for i, t in rows if re.search("[a-z]", t or "")], key=str)
+    assert [t for _, t in texts_of(stage["exact dedup"](spark, df, str(tmp_path)))].count("other") == 1
+    kept = texts_of(stage["exact dedup"](spark, df, str(tmp_path)))
+    assert kept == sorted([(5, "alpha beta"), (key(None), "unique"), (7, "other"), (key(None), "12 34"), (8, "12"), (8, "some words"), (9, kept_null(kept))], key=str)
+    near = texts_of(stage["near dedup"](spark, df, str(tmp_path)))
+    prints = defaultdict(list)
+    for i, t in rows:
+        prints[slow_fingerprint(t)].append(key(i))
+    assert sorted(i for i, _ in near) == sorted(min(v) for v in prints.values()) and len({slow_fingerprint(t) for _, t in near}) == len(near)
+    mixed = stage["source mixing"](spark, df, str(tmp_path)).collect()
+    assert sorted(map(str, mixed)) == sorted(str(r) for r in df.collect())
+    blank = df.limit(0)
+    assert all(run(spark, blank, str(tmp_path)).count() == 0 for _, run in corpus_pipeline.STAGES)
+
+
+def kept_null(kept):
+    """Null and empty texts of one id are one group; either may stay."""
+    return next(t for i, t in kept if i == 9)
+
+
+def test_mixture_comes_in_order(spark, tmp_path):
+    """The rows of the stage, read in order: every prefix has the sources at their weights, every whole block holds its source once."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, " ".join(["w"] * (1 + i % 5)), "big" if i % 10 else "small", "en", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    out = corpus_pipeline.source_mix(spark, df, "").collect()
+    share = lambda rs: sum(len(r["text"].split()) for r in rs if r["source"] == "small") / sum(len(r["text"].split()) for r in rs)
+    assert len(out) > len(rows) and {r["doc_id"] for r in out} == set(range(2000))
+    assert all(abs(share(out[:k]) - share(out)) < 0.03 for k in (400, 800, 1200, 1600))
+    small = [r["doc_id"] for r in out if r["source"] == "small"]
+    assert sorted(small[:200]) == list(range(0, 2000, 10)) != small[:200]
+
+
+def test_distinct_texts(spark):
+    df = docs(spark)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    best = {}
+    for r in df.collect():
+        n = norm(r["text"])
+        best[n] = min(best.get(n, key(None)), key(r["doc_id"]))
+    out = exact_dedup.distinct_texts(df)
+    assert out.columns == df.columns
+    assert sorted((norm(r["text"]), key(r["doc_id"])) for r in out.collect()) == sorted(best.items())
+    assert exact_dedup.distinct_texts(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [2, 9, 40])
+def test_splitters_part_long_common_starts(spark, ranges):
+    """Texts that share a long start, and one text with half of the rows: no range has much more than its share."""
+    rng = random.Random(ranges)
+    rows = [(i, "same text " * 30 if i % 2 else "common start " * 20 + "".join(rng.choices("abcdef", k=8))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = exact_dedup.splitters(df, ranges, sampled=400)
+    assert cuts == sorted(cuts) and len(cuts) == ranges - 1
+    sizes = np.bincount([sum(c <= (exact_dedup.normalise(t.encode()), i) for c in cuts) for i, t in rows], minlength=ranges)
+    assert sizes.max() < 2.2 * len(rows) / ranges
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from docloom.llm import _base
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _base.shared_dir(Session())
+    assert [_base.bytes_of(x) for x in ("4m", "8388608b", "1g", "-1", "x", "12")] == [4 << 20, 8 << 20, 1 << 30, 0, 0, 12]
+
+
+def test_nothing_is_left_in_the_shared_folder(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from docloom.llm import _base
+
+    out = simhash.near_duplicates(docs(spark))
+    assert out.count() == docs(spark).count()
+    at = urlparse(_base.shared_dir(spark)).path + "/docloom"
+    assert os.listdir(at)
+    _base.clean()
+    assert not os.listdir(at)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     df = docs(spark)
