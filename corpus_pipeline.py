@@ -68,8 +68,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source, and a run of the result has its sources at their weights. Empty texts are in each whole block; nulls are kept.
     """
     mixed = mix(docs, entropy_share=None, max_passes=1.5, budget=None, keep=COLUMNS)
-    order = ("progress", "source", "block", "position")
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+    # Progress is even in tokens, so that like shares of it are like shares of the mixture: no sample has to find them.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor(F.col("progress") * parts), F.lit(parts - 1)).cast("int")
+    return mixed.withColumn("__place", place).repartitionById(parts, "__place").sortWithinPartitions("progress", "source", "block", "position").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

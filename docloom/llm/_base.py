@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this many bytes, so that long texts do not pile up.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Work inside a batch goes on in slices of about this many text bytes.
 SLICE_BYTES = 1 << 20
 #: Tables of short rows are broadcast up to this count.

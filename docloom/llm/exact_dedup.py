@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import bound_batches, materialise, table, utf8
+from ._base import bound_batches, materialise, table, text_slices, utf8
 
 NULL_ID, LEAST_ID = (1 << 63) - 1, -(1 << 63)
 #: Bytes of a splitter at first, and how much longer it gets at a time where it doesn't part a range.
@@ -103,11 +103,12 @@ def _dealt(rows: DataFrame, extra: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = cuts.value
         for b in batches:
-            ids = b.column("doc_id")
-            norm = [normalise(t) for t in utf8(b.column("text"))]
-            part = [bisect_right(at, key) for key in zip(norm, ids.to_pylist(), strict=True)]
-            kept = [b.column("row")] if extra else []
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(norm, pa.binary()), ids, *kept], names=["part", "norm", "doc_id", *(["row"] if extra else [])])
+            for s in text_slices(b):
+                ids = s.column("doc_id")
+                norm = [normalise(t) for t in utf8(s.column("text"))]
+                part = [bisect_right(at, key) for key in zip(norm, ids.to_pylist(), strict=True)]
+                kept = [s.column("row")] if extra else []
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(norm, pa.binary()), ids, *kept], names=["part", "norm", "doc_id", *(["row"] if extra else [])])
 
     row = f", row {rows.schema['row'].dataType.simpleString()}" if extra else ""
     dealt = rows.mapInArrow(run, f"part int, norm binary, doc_id long{row}").repartitionById(ranges, "part")

@@ -153,7 +153,7 @@ def unused_parts(model: PieceModel) -> dict[int, list[int]]:
 class Codec:
     """Encoder and decoder of one process. Distinct words stay known between batches, up to ``held`` words and ``held_bytes`` of text."""
 
-    def __init__(self, data: bytes, threads: int = 2, held: int = 500_000, held_bytes: int = 32 << 20, parity: bool = True):
+    def __init__(self, data: bytes, threads: int = 2, held: int = 250_000, held_bytes: int = 16 << 20, parity: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
@@ -326,7 +326,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", path: str = MODEL, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, parity=parity)
         for b in batches:
-            for s in text_slices(b, "__text", 4 << 20):
+            for s in text_slices(b, "__text", 2 << 20):
                 texts = [t.decode() for t in utf8(s.column("__text"))]
                 ids, offsets, fine = codec.encode(texts)
                 listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
