@@ -63,16 +63,12 @@ def anonymised(docs: DataFrame) -> DataFrame:
     return _training(docs, "pseudonymised")
 
 
-def header(docs: DataFrame) -> DataFrame:
-    return D.headers(D.zoned_lines(docs)).withColumnRenamed("header", "xml")
-
-
 def entities_of(docs: DataFrame) -> DataFrame:
     return A.entities_xml(K.entities(docs))
 
 
 COMMANDS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "processHeader": header,
+    "processHeader": D.header_documents,
     "processFullText": D.full_documents,
     "generateText": files.export_rows,
     "createTrainingBlank": blank,
@@ -89,7 +85,8 @@ CALLS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "processMedic": lambda docs: D.string_records(docs, "medic"),
     "processPatient": lambda docs: D.string_records(docs, "patient"),
     "processNER": K.entities,
-    "processHeaderDocument": header,
+    "processHeaderDocument": D.header_documents,
+    "processLeftNoteDocument": D.left_note_documents,
     "processFullMedicalText": D.full_documents,
     "processFrenchMedicalNER": entities_of,
 }

@@ -21,9 +21,10 @@ def pick(key: str, value: Column, counter: Column, n: int | Column) -> Column:
 
 
 def mask_number(value: Column, key: str) -> Column:
-    """Each digit becomes another; everything else stays."""
+    """Each digit becomes another one, never itself; everything else stays."""
     chars = F.split(value, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), pick(key, value, i, 10).cast("string")).otherwise(c)), "")
+    other = lambda c, i: F.pmod(c.cast("int") + 1 + pick(key, value, i, 9), F.lit(10)).cast("string")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), other(c, i)).otherwise(c)), "")
 
 
 def mask_name(value: Column, key: str) -> Column:
@@ -51,14 +52,19 @@ def shift_date(value: Column, key: str, days: int = 3650) -> Column:
 
 
 def shift_raw_date(value: Column, key: str) -> Column:
-    """A raw date of the shape d/m/y, or with a month's name, keeps its separators and gets another day, month and year; other values stay."""
-    shape = r"^(\d{1,2})([/.-])(\d{1,2})([/.-])(\d{4})$"
+    """A raw date of the shape d/m/y, or with a month's name, keeps its separators and gets another day, month and year, of as many digits.
+
+    A day may have ``er`` behind it, and a year two digits. Of any other value the digits are masked, so that no date stays readable.
+    """
+    shape = r"^(\d{1,2})([/.-])(\d{1,2})([/.-])(\d{4}|\d{2})$"
     part = lambda g: F.regexp_extract(value, shape, g)
     day = F.lpad((pick(key, value, F.lit(1), 28) + 1).cast("string"), 2, "0")
     month = F.lpad((pick(key, value, F.lit(2), 12) + 1).cast("string"), 2, "0")
-    year = (F.lit(1920) + pick(key, value, F.lit(3), 100)).cast("string")
-    named = r"^(\d{1,2})(\s+)(\p{L}+)(\s+)(\d{4})$"
+    long_year = F.lit(1920) + pick(key, value, F.lit(3), 100)
+    year = lambda old: F.when(F.length(old) == 2, F.lpad(F.pmod(long_year, F.lit(100)).cast("string"), 2, "0")).otherwise(long_year.cast("string"))
+    named = r"^(\d{1,2})(?:er)?(\s+)(\p{L}+)(\s+)(\d{4}|\d{2})$"
     gap = lambda g: F.regexp_extract(value, named, g)
     name = F.element_at(F.array(*map(F.lit, MONTHS)), (pick(key, value, F.lit(2), 12) + 1).cast("int"))
     known = value.rlike(named) & F.lower(gap(3)).isin(*MONTHS)
-    return F.when(value.rlike(shape), F.concat(day, part(2), month, part(4), year)).when(known, F.concat(day, gap(2), name, gap(4), year)).otherwise(value)
+    dashed = F.concat(day, part(2), month, part(4), year(part(5)))
+    return F.when(value.rlike(shape), dashed).when(known, F.concat(day, gap(2), name, gap(4), year(gap(5)))).otherwise(mask_number(value, key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences
 from ..plans.schema import ALIASES
 
 
@@ -94,6 +95,19 @@ def merge_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", "g").agg(F.min(F.when(F.col("is_sentence") == 1, F.col("start"))).alias("start"), F.max("end").alias("end")).where("start is not null").drop("g")
 
 
+def sentences_outside(docs: DataFrame, span: str = r"[(\[][^)\]]*[)\]]") -> DataFrame:
+    """(doc_id, start, end): sentences of the texts, joined where a span of the pattern (brackets) reaches over their border."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(pieces: Column) -> DataFrame:
+        rows = docs.select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
+        start = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long")
+        return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("piece"))
+
+    found = placed(F.regexp_extract_all("text", F.lit(span + r"|[^(\[]+|."), 0)).where(F.col("piece").rlike(r"^[(\[]"))
+    return merge_sentences(placed(sentences(F.col("text"))).select("doc_id", "start", "end"), found.select("doc_id", "start", "end"))
+
+
 def align(labeled: DataFrame, raw: DataFrame) -> DataFrame:
     """Labels on raw feature lines by the carried token number; a raw line without a label takes the last one before it."""
     w = Window.partitionBy("doc_id").orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)

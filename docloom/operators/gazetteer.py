@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import PLAIN_TOKEN
 
 CLASSES = ("anatomy", "substance", "device", "pathology", "location", "living", "object", "phenomenon", "physiology", "procedure")
+#: Classes of known names and places, looked up by token.
+KNOWN = ("name", "title", "suffix", "city", "country")
 #: A lexicon is broadcast up to so many terms, by a count; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
 
@@ -22,11 +24,11 @@ def _sized(lex: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(lex) if lex.limit(limit + 1).count() <= limit else lex
 
 
-def members(tokens: DataFrame, lex: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
+def members(tokens: DataFrame, lex: DataFrame, limit: int = BROADCAST_TERMS, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """One 0/1 column for each class: is the lower-cased token a term of it. One join on a lexicon with one row a term."""
-    wide = lex.groupBy("term_lower").agg(*[F.max((F.col("class") == c).cast("int")).alias(f"is_{c}") for c in CLASSES])
+    wide = lex.groupBy("term_lower").agg(*[F.max((F.col("class") == c).cast("int")).alias(f"is_{c}") for c in classes])
     out = tokens.withColumn("term_lower", F.lower("tok")).join(_sized(wide, limit), "term_lower", "left").drop("term_lower")
-    return out.fillna(0, [f"is_{c}" for c in CLASSES])
+    return out.fillna(0, [f"is_{c}" for c in classes])
 
 
 def phrase_spans(tokens: DataFrame, lex: DataFrame, longest: int | None = None, limit: int = BROADCAST_TERMS) -> DataFrame:
@@ -51,8 +53,15 @@ def phrase_spans(tokens: DataFrame, lex: DataFrame, longest: int | None = None,
 
 
 def _without_overlap(spans: DataFrame) -> DataFrame:
-    """Left to right, drop a span that begins inside one that stays: a fold over the spans of a document and class, which are few."""
-    listed = spans.groupBy("doc_id", "class").agg(F.array_sort(F.collect_list(F.struct("n_start", "n_end", "term"))).alias("s"))
+    """Left to right, drop a span that begins inside one that stays.
+
+    Spans that no span before them reaches stay in any case and part the others into chains, each no longer than its overlaps;
+    the fold goes over one chain, so that the work grows with the spans of a text and not with their square.
+    """
+    w = Window.partitionBy("doc_id", "class").orderBy("n_start")
+    free = F.coalesce(F.col("n_start") > F.max("n_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    chained = spans.withColumn("free", free).withColumn("chain", F.sum(F.col("free").cast("int")).over(w))
+    listed = chained.groupBy("doc_id", "class", "chain").agg(F.array_sort(F.collect_list(F.struct("n_start", "n_end", "term"))).alias("s"))
     empty = F.filter(F.col("s"), lambda x: F.lit(False))
     kept = F.aggregate("s", empty, lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["n_end"] < x["n_start"]), F.concat(acc, F.array(x))).otherwise(acc))
     return listed.select("doc_id", "class", F.explode(kept).alias("x")).select("doc_id", "class", "x.n_start", "x.n_end", "x.term")

@@ -1,6 +1,7 @@
 """A trainable sequence labeller: averaged perceptron with transitions, decoded by Viterbi.
 
-Sequential by nature, so Python: lines of a document are the sequences, whole documents stay in one task.
+Sequential by nature, so Python. A sequence is a run of ``LONGEST`` tokens of one document, numbered before the rows are
+dealt, so that the answer doesn't depend on how rows come in batches.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights are hashed to a fixed number of slots, and at most so many tokens train them.
 SLOTS, TOKENS, EPOCHS, LONGEST = 1 << 18, 40_000, 3, 256
+#: Scores of so many distinct tokens stay known in a task.
+KNOWN_TOKENS = 100_000
 
 
 def _features(tok: str) -> list[int]:
@@ -30,8 +33,11 @@ class Model:
         self.emit, self.move = np.zeros((SLOTS, len(labels)), np.float32), np.zeros((len(labels) + 1, len(labels)), np.float32)
 
     def decode(self, feats: list[list[int]]) -> np.ndarray:
-        n, L = len(feats), len(self.labels)
-        score = np.array([self.emit[f].sum(0) for f in feats])
+        return self.path(np.array([self.emit[f].sum(0) for f in feats]))
+
+    def path(self, score: np.ndarray) -> np.ndarray:
+        """The best path through the scores of a sequence's tokens."""
+        n, L = score.shape
         back = np.zeros((n, L), np.int64)
         best = score[0] + self.move[L]
         for i in range(1, n):
@@ -84,19 +90,41 @@ def train(labeled: DataFrame, most: int = TOKENS, epochs: int = EPOCHS) -> Model
 
 
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
-    """All columns and ``guess``. Sequences are runs of tokens of one document, cut at a fixed length as in training."""
+    """All columns and ``guess``. Sequences are runs of tokens of one document, cut at a fixed length as in training; a batch's last one waits for the next batch."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for frame in frames:
+        m, names, known, held = shared.value, np.array(shared.value.labels, object), {}, None
+
+        def answer(frame: pd.DataFrame) -> pd.DataFrame:
             guess = np.empty(len(frame), object)
-            for index in frame.groupby("doc_id", sort=False).indices.values():
-                for k in range(0, len(index), LONGEST):
-                    part = index[k : k + LONGEST]
-                    guess[part] = [m.labels[x] for x in m.decode([_features(w) for w in frame["tok"].iloc[part]])]
-            yield frame.assign(guess=guess)
+            toks = frame["tok"].tolist()
+            feats = []
+            for w in toks:
+                f = known.get(w)
+                if f is None:
+                    if len(known) > KNOWN_TOKENS:
+                        known.clear()
+                    f = known[w] = m.emit[_features(w)].sum(0)
+                feats.append(f)
+            score = np.array(feats).reshape(len(toks), -1)
+            for index in frame.groupby(["doc_id", "__seq"], sort=False, dropna=False).indices.values():
+                guess[index] = names[m.path(score[index])]
+            return frame.drop(columns="__seq").assign(guess=guess)
+
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            same = (frame["__seq"] == frame["__seq"].iloc[-1]) & (frame["doc_id"].eq(frame["doc_id"].iloc[-1]) | (frame["doc_id"].isna() & pd.isna(frame["doc_id"].iloc[-1])))
+            held = frame[same]
+            if len(held) < len(frame):
+                yield answer(frame[~same].reset_index(drop=True))
+        if held is not None and len(held):
+            yield answer(held.reset_index(drop=True))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in tokens.dtypes) + ", guess string"
-    return tokens.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInPandas(run, schema)
+    number = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1) / LONGEST)
+    return tokens.withColumn("__seq", number).sortWithinPartitions("doc_id", "__seq", "pos").mapInPandas(run, schema)

@@ -36,9 +36,20 @@ def token_columns(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("position", X.scaled(F.col("char_offset"), F.col("total"), POSITION_BINS))
 
 
-def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None) -> DataFrame:
+#: Known names and places that the lines of a model look up.
+KNOWN_OF = {
+    "medic": ("title", "suffix", "name", "city", "country"),
+    "patient": ("name", "title", "suffix"),
+    "person_name": ("name", "title", "suffix"),
+    "address": ("city", "country"),
+    "organization": ("city", "country"),
+    "dateline": ("city", "country"),
+}
+
+
+def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None, classes: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, pos, features). With a map of pseudonyms, tokens are swapped first: features never show the original.
-    With a lexicon, one flag for each of its classes stands at the end of a line."""
+    With a lexicon, one flag for each of ``classes`` (all classes of entities unless given) stands at the end of a line."""
     rows = explode_tokens(docs)
     if replaced is not None:
         from .pseudonymize import apply_map
@@ -49,7 +60,8 @@ def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex:
     if lex is not None:
         from .gazetteer import CLASSES, members
 
-        rows, flags = members(rows, lex), [F.col(f"is_{c}") for c in CLASSES]
+        wanted = classes or CLASSES
+        rows, flags = members(rows, lex, classes=wanted), [F.col(f"is_{c}") for c in wanted]
     t, low = F.col("tok"), F.lower("tok")
     made = {
         "tok": t, "low": low, **{f"p{n}": X.prefix(low, n) for n in range(1, 6)}, **{f"s{n}": X.suffix(low, n) for n in range(1, 6)}, "caps": X.capitalisation(t), "digit": X.digits(t), "single": X.single_char(t), "punct": X.punctuation(t), "shape": X.shape(t), "trimmed": X.trimmed_shape(X.shape(t)),

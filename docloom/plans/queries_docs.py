@@ -15,6 +15,7 @@ from ..operators import extraction as X
 from ..operators import perceptron
 from ..operators import pseudonymize as S
 from ..operators import tokens as K
+from ..operators.layout import text_lines
 from ..operators.vectors import vector
 from .queries_text import LABEL, LINES, TOKENS, vector_sql
 from .registry import Literal, query, table
@@ -135,8 +136,6 @@ def zone_tags(spark, d):
 @query(f"""WITH {LINES}, l AS (SELECT *, CASE WHEN row_number() OVER w <= 3 THEN 'header' WHEN lead(page) OVER w <> page AND length(line) < 60 THEN 'footnote' ELSE 'body' END AS label FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), z AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS zone_no FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY doc_id ORDER BY line_no) IS DISTINCT FROM label THEN 1 ELSE 0 END AS o FROM l))
 SELECT doc_id, zone_no, label AS zone, min(line_no) AS line_start, max(line_no) AS line_end FROM z GROUP BY ALL""")
 def document_zones(spark, d):
-    from ..operators.layout import text_lines
-
     return X.zones(X.label_zones(text_lines(table(spark, d, "documents"))))
 
 
@@ -194,7 +193,7 @@ for _model in FOLDS:
 
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in T.MONTHS) + "]"
 HEADERS = Literal("doc_id bigint,doctype string,date string,medics string", (1, None, "7 mars 2019", "Dr A; Dr B;"), (2, "CR", None, None))
-DATELINES = Literal("doc_id bigint,doctype string,place_name string,date string", (1, "Lettre", "Lyon", "8 mars 2019"), (2, "Lettre", "Paris", "01/02/2020"))
+DATELINES = Literal("doc_id bigint,doctype string,place_name string,date string", (1, "Lettre", "Lyon", "8 mars 2019"), (2, "Lettre", "Paris", "01/02/2020"), (3, "Lettre", "Lille", "03.04.2021"), (4, "Note", None, None))
 
 
 @query(f"""SELECT h.doc_id, coalesce(h.doctype, l.doctype) AS doctype, coalesce(h.date, l.date) AS date, place_name AS place, CASE WHEN regexp_matches(coalesce(h.date, l.date), '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$') THEN strftime(strptime(coalesce(h.date, l.date), '%d/%m/%Y'), '%Y-%m-%d') ELSE split_part(coalesce(h.date, l.date), ' ', 3) || '-' || lpad(CAST(list_position({_MONTHS}, split_part(coalesce(h.date, l.date), ' ', 2)) AS VARCHAR), 2, '0') || '-' || lpad(split_part(coalesce(h.date, l.date), ' ', 1), 2, '0') END AS iso_date,
@@ -336,9 +335,10 @@ def facsimile(spark, d):
     return A.facsimile(SIZES.df(spark))
 
 
-@query("SELECT doc_id, '_' || substr(sha256(doc_id || '|' || 1), 1, 7) AS element_id FROM documents")
+@query(f"WITH {LINES} SELECT doc_id, line_no, '_' || substr(sha256(doc_id || '|' || line_no), 1, 7) AS element_id FROM ln")
 def element_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", A.element_id(F.col("doc_id"), F.lit(1)).alias("element_id"))
+    """An id for each line of the documents."""
+    return text_lines(table(spark, d, "documents")).select("doc_id", "line_no", A.element_id(F.col("doc_id"), F.col("line_no")).alias("element_id"))
 
 
 @query(f"""WITH {TOKENS}, {LABEL} SELECT doc_id, '<entities>' || string_agg('<entity type="' || type || '" start="' || offset_start || '" end="' || offset_end || '">' || {_ESC.format('raw_name')} || '</entity>', '' ORDER BY offset_start) || '</entities>' AS xml FROM en GROUP BY doc_id""")
@@ -372,6 +372,35 @@ def full_documents(spark, d):
     return D.full_documents(table(spark, d, "documents"), stamp="T0")
 
 
+_LEFT = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in D.LEFT_NOTE) + " END"
+
+
+@query(f"WITH {LINES} SELECT * FROM (SELECT doc_id, line_no AS cluster_no, {_LEFT} AS label, trim(line) AS text FROM ln WHERE page BETWEEN 0 AND 2) WHERE label IS NOT NULL")
+def left_note_lines(spark, d):
+    return D.left_note_lines(table(spark, d, "documents"))
+
+
+_LEFT_TAGS = {"org": "orgName", "idno": "idno", "address": "address", "phone": "phone", "fax": "fax", "email": "email", "web": "ptr", "medic": "medic"}
+_LEFT_XML = " || ".join(f"coalesce('<{t}>' || string_agg({_ESC.format('text')}, chr(10) ORDER BY cluster_no) FILTER (WHERE label = '{n}') || '</{t}>', '')" for n, t in _LEFT_TAGS.items())
+
+
+@query(f"WITH {LINES}, l AS (SELECT doc_id, line_no AS cluster_no, {_LEFT} AS label, trim(line) AS text FROM ln WHERE page BETWEEN 0 AND 2) SELECT doc_id, '<org>' || {_LEFT_XML} || '</org>' AS xml FROM l WHERE label IS NOT NULL GROUP BY doc_id")
+def left_note_documents(spark, d):
+    """The left note of all documents that have one."""
+    return D.left_note_documents(table(spark, d, "documents"))
+
+
+_BACK = "CASE " + " ".join(f"WHEN label = 'body' AND regexp_matches(line, '{p}') THEN '{n}'" for n, p in D.BACK) + " END"
+
+
+@query(f"""WITH {LINES}, z AS (SELECT *, row_number() OVER w AS r, coalesce(lead(page) OVER w <> page, false) AS last FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+y AS (SELECT *, CASE WHEN r <= 3 THEN 'header' WHEN last AND length(line) < 60 THEN 'footnote' ELSE 'body' END AS label FROM z), x AS (SELECT *, {_BACK} AS opens FROM y),
+v AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS since FROM x) SELECT doc_id, line_no, CASE WHEN label = 'body' AND since IS NOT NULL THEN since ELSE label END AS label FROM v""")
+def line_zones(spark, d):
+    """The zone of each line, back matter included."""
+    return D.back_zones(D.zoned_lines(table(spark, d, "documents"))).select("doc_id", "line_no", "label")
+
+
 # --- pseudonyms
 
 
@@ -383,7 +412,7 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in P.NAMES) + "]"
 
 
 def number_sql(value: str) -> str:
-    return f"array_to_string(list_transform(string_split({value}, ''), lambda c, i: CASE WHEN regexp_matches(c, '^[0-9]$') THEN CAST({pick_sql(value, 'CAST(i - 1 AS VARCHAR)', 10)} AS VARCHAR) ELSE c END), '')"
+    return f"array_to_string(list_transform(string_split({value}, ''), lambda c, i: CASE WHEN regexp_matches(c, '^[0-9]$') THEN CAST((CAST(c AS INTEGER) + 1 + {pick_sql(value, 'CAST(i - 1 AS VARCHAR)', 9)}) % 10 AS VARCHAR) ELSE c END), '')"
 
 
 def name_sql(value: str) -> str:
@@ -396,9 +425,20 @@ def email_sql(value: str) -> str:
     return f"array_to_string(list_transform(string_split(string_split({value}, '@')[1], '.'), lambda p: {new}), '.') || '@' || string_split({value}, '@')[2]"
 
 
-PERSONAL = Literal("doc_id bigint,kind string,original string", (1, "idno", "AB-12 34"), (1, "name", "Paul MARTIN"), (1, "email", "paul.martin@chu.fr"), (1, "date", "2019-03-07"), (1, "date", "07/03/2019"), (1, "phone", "01 02 03"), (2, "name", "Paul"), (2, "date", "hier"), (2, "date", "7 mars 2019"), (2, "date", "1  Août 1999"), (2, "date", "7 mai-juin 2019"))
+PERSONAL = Literal("doc_id bigint,kind string,original string", (1, "idno", "AB-12 34"), (1, "name", "Paul MARTIN"), (1, "email", "paul.martin@chu.fr"), (1, "date", "2019-03-07"), (1, "date", "07/03/2019"), (1, "phone", "01 02 03"), (2, "name", "Paul"), (2, "date", "hier"), (2, "date", "7 mars 2019"), (2, "date", "1  Août 1999"), (2, "date", "7 mai-juin 2019"), (3, "date", "07/03/19"), (3, "date", "7-3-19"), (3, "date", "1er août 1999"), (3, "date", "7 mars 19"))
 _SHIFT = f"CAST(CAST(TRY_CAST(original AS DATE) - CAST({pick_sql('original', "'0'", 3650)} + 1 AS INTEGER) AS DATE) AS VARCHAR)"
-_RAW = rf"CASE WHEN regexp_matches(original, '^(\d{{1,2}})([/.-])(\d{{1,2}})([/.-])(\d{{4}})$') THEN lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '^(\d{{1,2}})([/.-])', 2) || lpad(CAST({pick_sql('original', "'2'", 12)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '([/.-])(\d{{4}})$', 1) || CAST(1920 + {pick_sql('original', "'3'", 100)} AS VARCHAR) WHEN lower(regexp_extract(original, '^\d{{1,2}}\s+(\p{{L}}+)\s+\d{{4}}$', 1)) IN ({", ".join(f"'{m}'" for m in T.MONTHS)}) THEN lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0') || regexp_extract(original, '^\d+(\s+)', 1) || {_MONTHS}[{pick_sql('original', "'2'", 12)} + 1] || regexp_extract(original, '(\s+)\d{{4}}$', 1) || CAST(1920 + {pick_sql('original', "'3'", 100)} AS VARCHAR) ELSE original END"
+_LONG_YEAR = f"(1920 + {pick_sql('original', "'3'", 100)})"
+_DAY, _MONTH = f"lpad(CAST({pick_sql('original', "'1'", 28)} + 1 AS VARCHAR), 2, '0')", f"lpad(CAST({pick_sql('original', "'2'", 12)} + 1 AS VARCHAR), 2, '0')"
+_SHAPED, _NAMED = r"^(\d{1,2})([/.-])(\d{1,2})([/.-])(\d{4}|\d{2})$", r"^(\d{1,2})(?:er)?(\s+)(\p{L}+)(\s+)(\d{4}|\d{2})$"
+
+
+def _year_sql(pattern: str) -> str:
+    return f"CASE WHEN length(regexp_extract(original, '{pattern}', 5)) = 2 THEN lpad(CAST({_LONG_YEAR} % 100 AS VARCHAR), 2, '0') ELSE CAST({_LONG_YEAR} AS VARCHAR) END"
+
+
+_MONTH_LIST = ", ".join(f"'{m}'" for m in T.MONTHS)
+_RAW = f"""CASE WHEN regexp_matches(original, '{_SHAPED}') THEN {_DAY} || regexp_extract(original, '{_SHAPED}', 2) || {_MONTH} || regexp_extract(original, '{_SHAPED}', 4) || {_year_sql(_SHAPED)}
+ WHEN lower(regexp_extract(original, '{_NAMED}', 3)) IN ({_MONTH_LIST}) THEN {_DAY} || regexp_extract(original, '{_NAMED}', 2) || {_MONTHS}[{pick_sql('original', "'2'", 12)} + 1] || regexp_extract(original, '{_NAMED}', 4) || {_year_sql(_NAMED)} ELSE {number_sql('original')} END"""
 _PSEUDO = f"CASE kind WHEN 'name' THEN {name_sql('original')} WHEN 'email' THEN {email_sql('original')} WHEN 'date' THEN CASE WHEN regexp_matches(original, '^\\d{{4}}-') THEN {_SHIFT} ELSE {_RAW} END ELSE {number_sql('original')} END"
 
 
@@ -482,6 +522,16 @@ def vector_pseudonymised(spark, d):
     return vector(docs, "medic", replaced=commands.pseudonyms(docs, KEY))
 
 
+@query("SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS original WHERE false")
+def survivors(spark, d):
+    """Originals that still stand in the texts once the map was applied to them: none."""
+    docs = table(spark, d, "documents")
+    mapping = commands.pseudonyms(docs, KEY)
+    texts = S.apply_map(K.explode_tokens(docs), mapping).groupBy("doc_id").agg(K.ordered_join("tok", "pos", "").alias("text"))
+    # a pseudonym of one value may be the original of another of its document
+    return S.survivors(texts, mapping.join(mapping.select("doc_id", F.col("pseudo").alias("original")).distinct(), ["doc_id", "original"], "left_anti"))
+
+
 ADDRESSES = Literal("doc_id bigint,address string", (1, "12 rue A 69001 Lyon"), (2, "7 bd B 75001 Paris"), (3, "sans code"))
 CITIES = Literal("post_code string,city string", ("69001", "Lyon"), ("75001", "Paris"), ("13001", "Marseille"), ("00000", "la"), ("59000", "Lille"))
 

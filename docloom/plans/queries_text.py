@@ -10,7 +10,8 @@ from ..functions import text as T
 from ..operators import gazetteer, layout
 from ..operators import tokens as K
 from ..operators.assembly import entity_json
-from ..operators.vectors import VECTORS, vector
+from ..operators.evaluation import sentences_outside
+from ..operators.vectors import KNOWN_OF, VECTORS, vector
 from ..sources import files
 from .registry import Literal, query, table
 
@@ -61,7 +62,7 @@ PAIR_LINES = Literal("line string", ("Dupont\tMartin",), ("75001\t38291",), ("a
 
 @query(f"SELECT split_part(line, chr(9), 1) AS original, split_part(line, chr(9), 2) AS pseudo FROM {PAIR_LINES.sql}")
 def pair_source(spark, d):
-    return PAIR_LINES.df(spark).select(F.split_part("line", F.lit("\t"), F.lit(1)).alias("original"), F.split_part("line", F.lit("\t"), F.lit(2)).alias("pseudo"))
+    return files.parse_pairs(PAIR_LINES.df(spark), "line")
 
 
 @query(r"""WITH b AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '(?is)<(script|style|nav)[^>]*>.*?</(?:script|style|nav)>|<!--.*?-->', ' ', 'g') AS bare FROM pages),
@@ -169,20 +170,7 @@ x AS (SELECT *, fin - length(sentence) AS start, length(regexp_replace(substr(te
 j AS (SELECT *, regexp_matches(substr(text, 1, CAST(start AS INTEGER)), '[(\[][^)\]]*$') AS inside FROM x),
 g AS (SELECT *, sum(CAST(NOT inside AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM j) SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(fin) AS BIGINT) AS "end" FROM g GROUP BY doc_id, g""")
 def sentences_outside_spans(spark, d):
-    """Sentences of texts whose brackets hold no border: the spans come from a pattern, and sentences that meet in one are joined."""
-    from pyspark.sql import Window
-
-    from ..operators.evaluation import merge_sentences
-
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-
-    def placed(pieces):
-        rows = QUOTED.df(spark).select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
-        start = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long")
-        return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("piece"))
-
-    spans = placed(F.regexp_extract_all("text", F.lit(r"[(\[][^)\]]*[)\]]|[^(\[]+|."), 0)).where(F.col("piece").rlike(r"^[(\[]"))
-    return merge_sentences(placed(T.sentences(F.col("text"))).select("doc_id", "start", "end"), spans.select("doc_id", "start", "end"))
+    return sentences_outside(QUOTED.df(spark))
 
 
 DATES = Literal("id bigint,y bigint,m bigint,d bigint,raw string", (1, 2019, 3, 7, "07/03/2019"), (2, 2019, -1, 7, "7-3-2019"), (3, 812, 12, -1, "07.03.2019"), (4, -1, 2, 3, "7 mars 2019"), (5, 1999, 12, 31, "1er août 1999"), (6, 2000, 2, 30, "30/02/2000"), (7, 2020, 1, 1, "2020-01-05"), (8, 2021, 1, -1, "hier"), (9, 2021, 5, 5, "07/03/19"))
@@ -375,7 +363,7 @@ def _register_vectors() -> None:
         query(vector_sql(model))(run)
 
 
-def vector_sql(model: str, swap: str = "", lexicon: bool = False, before: str = "") -> str:
+def vector_sql(model: str, swap: str = "", lexicon: tuple[str, ...] = (), before: str = "", terms: str = "") -> str:
     names = {
         "tok": "tok", "low": "lower(tok)", **{f"p{n}": f"left(lower(tok), {n})" for n in range(1, 6)}, **{f"s{n}": f"right(lower(tok), {n})" for n in range(1, 6)}, "caps": "caps", "digit": "digit", "single": "single", "punct": "punct", "shape": "shape", "trimmed": "trimmed",
         "year": "year", "month": "month", "email": "email", "http": "http", "line": "ls", "block": "bs", "position": "rp",
@@ -387,9 +375,9 @@ def vector_sql(model: str, swap: str = "", lexicon: bool = False, before: str =
     cols = ", ".join(names[c] for c in VECTORS[model])
     source = "st"
     if lexicon:
-        tokens += f", {LEX_SQL}"
-        cols += ", " + ", ".join(f"is_{c}" for c in gazetteer.CLASSES)
-        source = f"(SELECT s.*, {', '.join(f'(SELECT CAST(count(*) > 0 AS INTEGER) FROM lx l WHERE l.term_lower = lower(s.tok) AND l.class = {chr(39)}{c}{chr(39)}) AS is_{c}' for c in gazetteer.CLASSES)} FROM st s)"
+        tokens += f", {terms or LEX_SQL}"
+        cols += ", " + ", ".join(f"is_{c}" for c in lexicon)
+        source = f"(SELECT s.*, {', '.join(f'(SELECT CAST(count(*) > 0 AS INTEGER) FROM lx l WHERE l.term_lower = lower(s.tok) AND l.class = {chr(39)}{c}{chr(39)}) AS is_{c}' for c in lexicon)} FROM st s)"
     return rf"""WITH {tokens}, nl AS (SELECT *, sum(CASE WHEN tok IN (chr(10), chr(13)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS l, sum(length(tok)) OVER (PARTITION BY doc_id) AS total FROM {tk}),
 so AS (SELECT * FROM nl WHERE NOT regexp_matches(tok, '^\s$')),
 st AS (SELECT *, CASE WHEN row_number() OVER a = 1 THEN 'LINESTART' WHEN lead(1) OVER a IS NULL THEN 'LINEEND' ELSE 'LINEIN' END AS ls, CASE WHEN row_number() OVER b = 1 THEN 'BLOCKSTART' WHEN lead(1) OVER b IS NULL THEN 'BLOCKEND' ELSE 'BLOCKIN' END AS bs, CAST(least(floor(char_offset * 12 / greatest(total, 1)), 11) AS BIGINT) AS rp FROM so WINDOW a AS (PARTITION BY doc_id, l ORDER BY pos), b AS (PARTITION BY doc_id ORDER BY pos)),
@@ -399,8 +387,29 @@ u AS (SELECT *, {_LEXICAL} FROM {source}) SELECT doc_id, pos, concat_ws(' ', {co
 _register_vectors()
 
 
-@query(vector_sql("ner", lexicon=True))
+@query(vector_sql("ner", lexicon=gazetteer.CLASSES))
 def vector_lexicon_flags(spark, d):
     return vector(table(spark, d, "documents"), "ner", lex=gazetteer.lexicon(LEX.df(spark)))
 
 
+
+
+KNOWN_TERMS = Literal(
+    "term string,class string",
+    ("The", "name"), ("de", "name"), ("and", "suffix"), ("der", "title"), ("la", "city"), ("que", "city"), ("in", "country"), ("is", "country"), ("una", "name"), ("der", "city"), (" ", "name"),
+)
+KNOWN_SQL = LEX_SQL.replace(LEX.sql, KNOWN_TERMS.sql)
+
+
+def _register_known() -> None:
+    """One query a model whose lines look up known names and places."""
+    for model, classes in KNOWN_OF.items():
+
+        def run(spark, d, model=model, classes=classes):
+            return vector(table(spark, d, "documents"), model, lex=gazetteer.lexicon(KNOWN_TERMS.df(spark)), classes=classes)
+
+        run.__name__ = f"known_{model}"
+        query(vector_sql(model, lexicon=classes, terms=KNOWN_SQL))(run)
+
+
+_register_known()

@@ -43,9 +43,15 @@ def read_lexicon(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("term"), F.lit(name).alias("class")).where("term <> ''").distinct()
 
 
+def parse_pairs(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(original, pseudo) of lines with a tab between; a line without a tab has an empty pseudonym."""
+    part = lambda k: F.split_part(column, F.lit("\t"), F.lit(k))
+    return lines.select(part(1).alias("original"), part(2).alias("pseudo"))
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(original, pseudo) of tab-separated files."""
-    return spark.read.schema("original string, pseudo string").csv(path, sep="\t", quote="", escape="\u0000")
+    """(original, pseudo) of tab-separated files; blank lines are left out."""
+    return parse_pairs(spark.read.text(path).where("trim(value) <> ''"))
 
 
 def write_pairs(mapping: DataFrame, path: str) -> None:

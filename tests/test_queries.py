@@ -260,3 +260,72 @@ def test_title_case_has_every_turn(spark):
     assert any("ß" in (r["text"] or "") for r in rows)
     got = sorted(((r["conv_id"], r["turn"], r["title"]) for r in QUERIES["title_case"](spark, SF).collect()), key=str)
     assert got == sorted(((r["conv_id"], r["turn"], title(r["text"])) for r in rows), key=str)
+
+
+def test_masked_values_show_nothing_of_the_original(spark):
+    from pyspark.sql import functions as F
+
+    values = [("date", "07/03/19"), ("date", "7-3-2019"), ("date", "7.3.19"), ("date", "1er août 1999"), ("date", "12 mars 19"), ("date", "le 7/3"), ("date", "2019-03-07"), ("idno", "0102030405"), ("phone", "06 11 22 33 44")]
+    rows = spark.createDataFrame(values, "kind string, original string").withColumn("pseudo", pseudonymize.pseudo(F.col("kind"), F.col("original"), "k")).collect()
+    assert all(r["pseudo"] != r["original"] and len(r["pseudo"]) >= 5 for r in rows)
+    for r in rows[-2:]:
+        assert len(r["pseudo"]) == len(r["original"]) and all(a != b for a, b in zip(r["original"], r["pseudo"], strict=True) if a.isdigit())
+    assert [len(r["pseudo"]) for r in rows[:2]] == [8, 10]
+
+
+def test_overlaps_are_dropped_left_to_right(spark):
+    import random
+
+    from docloom.operators.gazetteer import _without_overlap
+
+    rng = random.Random(3)
+    spans = {(d, c, a, a + rng.randrange(4)) for d in range(5) for c in "xy" for a in rng.sample(range(60), 30)}
+    want = set()
+    for d in range(5):
+        for c in "xy":
+            reach = -1
+            for s in sorted(s for s in spans if s[:2] == (d, c)):
+                if s[2] > reach:
+                    want.add(s)
+                    reach = s[3]
+    df = spark.createDataFrame([(*s, "t") for s in spans], "doc_id int, class string, n_start int, n_end int, term string")
+    assert {tuple(r)[:4] for r in _without_overlap(df).collect()} == want
+
+
+def test_labels_do_not_depend_on_batches(spark):
+    from docloom.operators import perceptron, runner
+
+    docs = spark.createDataFrame([(i, "Paul va le 12 mars a Lyon . " * (3 + 40 * (i % 3))) for i in range(12)], "doc_id long, text string")
+    toks = K.label_by_rules(K.explode_tokens(docs)).select("doc_id", "pos", "tok", "label")
+    model = perceptron.train(toks)
+    key, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    for n in ("7", "1000", "10000"):
+        spark.conf.set(key, n)
+        got.append(sorted(map(tuple, perceptron.decode(toks, model).collect())))
+    spark.conf.set(key, before)
+    assert got[0] == got[1] == got[2] and len(got[0]) == toks.count()
+    assert perceptron.decode(toks.limit(0), model).count() == 0
+    assert runner.split_evaluate("medic", toks, 0.5).where("label = 'persname'").first()["f1"] == 1.0
+    assert {r["fold"] for r in runner.fold_evaluate("medic", toks, 3).collect()} <= {0, 1, 2}
+    with pytest.raises(ValueError, match="no trainer"):
+        runner.train("none", toks)
+
+
+def test_whole_documents(spark):
+    """Left note, people, back matter, notes and entities stand in the document."""
+    from docloom import commands
+
+    text = "Compte rendu\nHôpital Nord\n12 rue Haute 69001 Lyon\nTél 04 05 06 07 08\nDocteur Paul Martin\nMadame Anne Roux\n1 Motif\nUn texte.\nRemerciements\nMerci a tous\nAnnexe 1\nUne table"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "seul")], "doc_id long, text string")
+    xml = {r["doc_id"]: ET.fromstring(r["xml"]) for r in commands.COMMANDS["processFullText"](docs).collect()}
+    assert set(xml) == {1, 3}
+    root = xml[1]
+    assert root.find(".//listOrg/org/orgName").text == "Hôpital Nord" and root.find(".//listOrg/org/address").text == "12 rue Haute 69001 Lyon" and root.find(".//listOrg/org/phone") is not None
+    assert {p.get("type") for p in root.findall(".//listPerson")} == {"medic", "patient"}
+    assert [d.get("type") for d in root.findall(".//back/div")] == ["acknowledgement", "annex"]
+    assert [p.text for p in root.findall(".//back/div[@type='annex']/p")] == ["Annexe 1", "Une table"]
+    assert "Merci" not in "".join(root.find(".//body").itertext()) and root.findall(".//back/entities/entity")
+    note = {r["doc_id"]: r["xml"] for r in commands.CALLS["processLeftNoteDocument"](docs).collect()}
+    assert set(note) == {1} and "<org>" in note[1]
+    assert "<listOrg><org>" in {r["doc_id"]: r["xml"] for r in commands.CALLS["processHeaderDocument"](docs).collect()}[1]
