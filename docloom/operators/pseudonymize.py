@@ -37,9 +37,13 @@ def pseudo(kind: Column, original: Column, key: str) -> Column:
 def components(pairs: DataFrame) -> DataFrame:
     """Pairs and their aligned parts: original and pseudonym split by the tokenizer, parts longer than 1 kept (names: 2)."""
     solid = lambda c: F.filter(F.regexp_extract_all(c, F.lit(PLAIN_TOKEN), 0), lambda t: t.rlike(r"^[\p{L}\p{N}]"))
-    parts = pairs.select("doc_id", "kind", F.explode(F.arrays_zip(solid("original").alias("o"), solid("pseudo").alias("p"))).alias("z")).select("doc_id", "kind", F.col("z.o").alias("original"), F.col("z.p").alias("pseudo"))
     least = F.when(F.col("kind") == "name", 2).otherwise(1)
-    return pairs.select("doc_id", "kind", "original", "pseudo").unionByName(parts.where(F.col("original").isNotNull() & F.col("pseudo").isNotNull() & (F.length("original") > least)))
+    aligned = F.arrays_zip(solid("original").alias("o"), solid("pseudo").alias("p"))
+    parts = F.filter(aligned, lambda x: x["o"].isNotNull() & x["p"].isNotNull() & (F.length(x["o"]) > least))
+    # One pass: the pairs come from the texts, which a union would read twice.
+    whole = F.array(F.struct(F.col("original").alias("o"), F.col("pseudo").alias("p")))
+    each = F.explode(F.concat(whole, F.coalesce(parts, F.slice(whole, 1, 0)))).alias("z")
+    return pairs.select("doc_id", "kind", each).select("doc_id", "kind", F.col("z.o").alias("original"), F.col("z.p").alias("pseudo"))
 
 
 def pseudonym_map(pairs: DataFrame) -> DataFrame:
