@@ -113,7 +113,10 @@ def _hit(bitmap: np.ndarray, bits: int, low: np.ndarray) -> np.ndarray:
 
 
 class _Pieces:
-    """The runs of candidate windows with one minimizer in the texts of a slice: first word, windows, minimizer, row, and a key of all words."""
+    """The runs of candidate windows with one minimizer in the texts of a slice: first word, windows, minimizer, row, and a key of all words.
+
+    A run has at most ``window - seed + 1`` windows; a longer one is several pieces.
+    """
 
     def __init__(self, words: Words, window: int, seed: int, bitmap: np.ndarray, bits: int):
         at, w, low = _windows(words, window, seed)
@@ -122,6 +125,9 @@ class _Pieces:
         n = len(hit)
         new = np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (self.at[1:] != self.at[:-1] + 1)][:n]
         first = np.flatnonzero(new)
+        # Where its seed comes again within a window (a a a ..., a b a b ...) a run has no end: it is cut, since a mask has 64 bits.
+        new |= (np.arange(n) - first[np.cumsum(new) - 1]) % (window - seed + 1) == 0
+        first = np.flatnonzero(new)
         self.piece = np.cumsum(new) - 1  # of each window
         self.run = np.diff(np.r_[first, n])
         self.start, self.low, self.row = self.at[first], low[first], row[first]

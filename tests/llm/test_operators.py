@@ -229,6 +229,25 @@ def test_relative_factors(spark, how):
     assert substring_dedup.factors(empty(spark)).count() == 0
 
 
+def test_relative_factors_of_periods(spark):
+    """Words that recur within a window give one minimizer for hundreds of windows, of which each is judged."""
+    rng = random.Random(7)
+    rows = [(1, (["a", "b"] * 7)[:13]), (2, ["a", "b"] * 100), (3, ["b", "a"] * 60)]
+    for i in range(4, 60):
+        cycle = [f"w{rng.randrange(3)}" if rng.random() < 0.3 else f"v{j}" for j in range(i % 6 + 2)]
+        w = (cycle * 60)[rng.randrange(i % 6 + 2) :][: rng.randrange(10, 400)]
+        rows.append((i, w + [f"z{i}"] + w[: rng.randrange(200)]))
+    first, want = {}, []
+    for i, w in rows:
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i, w in rows:
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    out = rows_of(substring_dedup.factors(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == want
+
+
 def test_pieces_parity_and_round_trip(spark):
     import sentencepiece
 
