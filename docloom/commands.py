@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import text as T
 from .operators import assembly as A
 from .operators import documents as D
 from .operators import evaluation as E
+from .operators import flow
 from .operators import pseudonymize as S
 from .operators import tokens as K
 from .sources import files
@@ -29,17 +29,12 @@ def entity_tokens(docs: DataFrame) -> DataFrame:
 
 def pairs(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, kind, original, pseudo) of the personal data that the entity labeller finds, each once a document. ``key`` has to be secret for real data."""
-    kinds = {"persname": "name", "idno": "idno", "email": "email"}
-    kind = F.lit(None).cast("string")
-    for label, name in kinds.items():
-        kind = F.when(F.col("type") == label, name).otherwise(kind)
-    found = K.entities(docs).select("doc_id", kind.alias("kind"), T.normalize_space(F.col("raw_name")).alias("original")).where("kind is not null").distinct()
-    return found.withColumn("pseudo", S.pseudo(F.col("kind"), F.col("original"), key))
+    return flow.pairs(docs, key)
 
 
 def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The map (doc_id, kind, original, pseudo) of :func:`pairs` and their parts."""
-    return S.pseudonym_map(S.components(pairs(docs, key)))
+    return flow.pseudonym_map(docs, key)
 
 
 def _training(docs: DataFrame, variant: str) -> DataFrame:
@@ -47,7 +42,7 @@ def _training(docs: DataFrame, variant: str) -> DataFrame:
     if variant == "pseudonymised":
         tagged = S.anonymised_tags(toks, pseudonyms(docs), ENTITY_TAGS)
     else:
-        tagged = K.inline_tags(E.blank_training(toks) if variant == "blank" else toks, ENTITY_TAGS)
+        tagged = K.inline_tags(E.blank_training(toks), ENTITY_TAGS) if variant == "blank" else flow.tagged(docs, ENTITY_TAGS)
     return tagged.select("doc_id", F.lit("ner").alias("model"), F.lit(variant).alias("variant"), F.col("tagged").alias("payload"))
 
 

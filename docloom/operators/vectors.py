@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as X
-from .layout import POSITION_BINS, status
-from .tokens import explode_tokens
+from . import flow
+from .gazetteer import CLASSES, members
+from .layout import POSITION_BINS
 
 _BASE = ["tok", "low", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "s4"]
 _LAYOUT = ["line", "block"]
@@ -26,16 +27,6 @@ VECTORS: dict[str, list[str]] = {
 }
 
 
-def token_columns(tokens: DataFrame) -> DataFrame:
-    """Tokens that aren't blank with line and block status and relative position; lines end at LF or CR, a text is one block."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = tokens.withColumn("line_no", F.sum(F.col("tok").isin("\n", "\r").cast("int")).over(w)).withColumn("total", F.sum(F.length("tok")).over(Window.partitionBy("doc_id")))
-    rows = rows.where(~F.col("tok").rlike(r"^\s$"))
-    rows = status(rows, ("doc_id", "line_no"), "pos", "line", ("LINESTART", "LINEIN", "LINEEND"))
-    rows = status(rows, ("doc_id",), "pos", "block", ("BLOCKSTART", "BLOCKIN", "BLOCKEND"))
-    return rows.withColumn("position", X.scaled(F.col("char_offset"), F.col("total"), POSITION_BINS))
-
-
 #: Known names and places that the lines of a model look up.
 KNOWN_OF = {
     "medic": ("title", "suffix", "name", "city", "country"),
@@ -47,24 +38,11 @@ KNOWN_OF = {
 }
 
 
-def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None, classes: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, pos, features). With a map of pseudonyms, tokens are swapped first: features never show the original.
+def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None, classes: tuple[str, ...] | None = None, key: str | None = None) -> DataFrame:
+    """(doc_id, pos, features). With a map of pseudonyms, or a key that makes one, tokens are swapped first: features never show the original.
     With a lexicon, one flag for each of ``classes`` (all classes of entities unless given) stands at the end of a line."""
-    rows = explode_tokens(docs)
-    if replaced is not None:
-        from .pseudonymize import apply_map
-
-        rows = apply_map(rows, replaced).drop("replaced")
-    rows = token_columns(rows)
-    flags = []
-    if lex is not None:
-        from .gazetteer import CLASSES, members
-
-        wanted = classes or CLASSES
-        rows, flags = members(rows, lex, classes=wanted), [F.col(f"is_{c}") for c in wanted]
-    t, low = F.col("tok"), F.lower("tok")
-    made = {
-        "tok": t, "low": low, **{f"p{n}": X.prefix(low, n) for n in range(1, 6)}, **{f"s{n}": X.suffix(low, n) for n in range(1, 6)}, "caps": X.capitalisation(t), "digit": X.digits(t), "single": X.single_char(t), "punct": X.punctuation(t), "shape": X.shape(t), "trimmed": X.trimmed_shape(X.shape(t)),
-        "year": X.flag(X.is_year(t)), "month": X.flag(X.is_month(t)), "email": X.flag(X.is_email(t)), "http": X.flag(X.is_http(t)), "line": F.col("line"), "block": F.col("block"), "position": F.col("position"),
-    }
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), X.serialise(*[made[c] for c in VECTORS[model]], *flags).alias("features"))
+    rows = flow.lines(docs, VECTORS[model], POSITION_BINS, key, replaced)
+    if lex is None:
+        return rows.drop("tok")
+    wanted = classes or CLASSES
+    return members(rows, lex, classes=wanted).select("doc_id", "pos", X.serialise(F.col("features"), *[F.col(f"is_{c}") for c in wanted]).alias("features"))
