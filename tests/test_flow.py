@@ -74,3 +74,4 @@ def test_one_pass_equals_token_tables(spark):
     assert (model.emit == perceptron.train(toks).emit).all() and (model.move == perceptron.train(toks).move).all()
     columns = ("doc_id", "pos", "tok", "label", "guess")
     assert same(perceptron.decode_texts(docs, model).select(*columns), perceptron.decode(toks, model).select(*columns))
+    assert same(perceptron.confusion_texts(docs, model), perceptron.decode(toks, model).groupBy("label", "guess").agg(F.count("*").alias("n")))
