@@ -24,9 +24,19 @@ def _sized(lex: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(lex) if lex.limit(limit + 1).count() <= limit else lex
 
 
+def _wide(lex: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    return lex.groupBy("term_lower").agg(*[F.max((F.col("class") == c).cast("int")).alias(f"is_{c}") for c in classes])
+
+
+def flags(lex: DataFrame, classes: tuple[str, ...] = CLASSES, limit: int = BROADCAST_TERMS) -> dict[str, str] | None:
+    """The 0/1 columns of :func:`members` by term, parted by one space; of a lexicon of more than ``limit`` terms, none."""
+    rows = _wide(lex, classes).select("term_lower", F.concat_ws(" ", *[F.coalesce(F.col(f"is_{c}"), F.lit(0)) for c in classes]).alias("f")).limit(limit + 1).collect()
+    return {r["term_lower"]: r["f"] for r in rows if r["term_lower"] is not None} if len(rows) <= limit else None
+
+
 def members(tokens: DataFrame, lex: DataFrame, limit: int = BROADCAST_TERMS, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     """One 0/1 column for each class: is the lower-cased token a term of it. One join on a lexicon with one row a term."""
-    wide = lex.groupBy("term_lower").agg(*[F.max((F.col("class") == c).cast("int")).alias(f"is_{c}") for c in classes])
+    wide = _wide(lex, classes)
     out = tokens.withColumn("term_lower", F.lower("tok")).join(_sized(wide, limit), "term_lower", "left").drop("term_lower")
     return out.fillna(0, [f"is_{c}" for c in classes])
 

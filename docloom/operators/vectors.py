@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from . import flow
-from .gazetteer import CLASSES, members
+from .gazetteer import CLASSES, flags, members
 from .layout import POSITION_BINS
 
 _BASE = ["tok", "low", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "s4"]
@@ -41,8 +41,10 @@ KNOWN_OF = {
 def vector(docs: DataFrame, model: str, replaced: DataFrame | None = None, lex: DataFrame | None = None, classes: tuple[str, ...] | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, pos, features). With a map of pseudonyms, or a key that makes one, tokens are swapped first: features never show the original.
     With a lexicon, one flag for each of ``classes`` (all classes of entities unless given) stands at the end of a line."""
-    rows = flow.lines(docs, VECTORS[model], POSITION_BINS, key, replaced)
     if lex is None:
-        return rows.drop("tok")
+        return flow.lines(docs, VECTORS[model], POSITION_BINS, key, replaced)
     wanted = classes or CLASSES
-    return members(rows, lex, classes=wanted).select("doc_id", "pos", X.serialise(F.col("features"), *[F.col(f"is_{c}") for c in wanted]).alias("features"))
+    held = flags(lex, wanted)
+    if held is not None:
+        return flow.lines(docs, VECTORS[model], POSITION_BINS, key, replaced, (held, " ".join("0" * len(wanted))))
+    return members(flow.lines(docs, VECTORS[model], POSITION_BINS, key, replaced, toks=True), lex, classes=wanted).select("doc_id", "pos", X.serialise(F.col("features"), *[F.col(f"is_{c}") for c in wanted]).alias("features"))

@@ -75,3 +75,56 @@ def test_one_pass_equals_token_tables(spark):
     columns = ("doc_id", "pos", "tok", "label", "guess")
     assert same(perceptron.decode_texts(docs, model).select(*columns), perceptron.decode(toks, model).select(*columns))
     assert same(perceptron.confusion_texts(docs, model), perceptron.decode(toks, model).groupBy("label", "guess").agg(F.count("*").alias("n")))
+
+
+def test_texts_are_cut_as_the_pattern_says(spark):
+    """Tokens cut with arrays of classes are those of the JVM's pattern: emails at all borders, all kinds of characters, slices with an offset."""
+    import random
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docloom.functions import text as T
+
+    r = random.Random(7)
+    signs = ["a", "b", "é", "1", "٣", "@", ".", "-", "_", "fr", "com", " ", "\n", "%", "😀", "日", "ࡰ", "x.y", "\x00", "²"]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(4000)] + [None, "", "@" * 50, "a@b.fré x", "éa@b.fr", "a@b.fr_c@d.fr", "a@b.c1fr2@d.fr"]
+    docs, table = spark.createDataFrame(list(enumerate(texts)), "i long, t string"), np.frombuffer(zlib.decompress(flow.classes(spark)), np.uint8)
+    for pattern, emails in flow.CUT_HERE.items():
+        want = [x["k"] or [] for x in docs.orderBy("i").select(T.tokenize(F.col("t"), pattern).alias("k")).collect()]
+        size, flat = flow.cut(pa.array(["é@b.fr", *texts], pa.string()).slice(1), table, emails)
+        ends = np.r_[0, np.cumsum(size)].tolist()
+        held = flat.to_pylist()
+        assert [held[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
+def test_token_queries_cut_no_text_in_the_jvm(spark):
+    """A text crosses to Python once, as it is; features of a lexicon need no join."""
+    for name in ONE_PASS:
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all(text" not in plan.split("MapInArrow")[-1] and "Join" not in plan, plan
+
+
+def test_features_of_all_words_of_a_slice():
+    """Features made with arrays, and by the short way, are those of single tokens."""
+    from docloom.functions import values as V
+    from docloom.operators.vectors import VECTORS
+
+    words = [*ODD_TOKENS, "", "AB", "Ab", "aB", "ÉÉ", "٣٤٥٦", "1850", "123", "decembre", "Août", "Août.", "a b", "iİ", "abcdefgh"]
+    held = type("Slice", (), {"words": words})()
+    for columns in VECTORS.values():
+        names = [x for x in columns if x not in flow.PLACED]
+        want = [V.features(w, names) for w in words]
+        assert flow.Lines(names)(held).to_pylist() == want and list(map(V.features_of(names), words)) == want
+
+
+def test_lexicon_flags_equal_the_join(spark, monkeypatch):
+    """Flags looked up with the features are those of the join that a large lexicon takes."""
+    from docloom.operators import gazetteer, vectors
+
+    docs = spark.createDataFrame([(1, "Paul vit à LYON, paul"), (2, None), (None, "Lyon Éa")], "doc_id long, text string")
+    lex = gazetteer.lexicon(spark.createDataFrame([("Paul", "name"), ("lyon", "city"), ("Éa", "city"), ("éa", "name")], "term string, class string"))
+    near = sorted(map(tuple, vector(docs, "medic", lex=lex, classes=("name", "city")).collect()), key=str)
+    monkeypatch.setattr(vectors, "flags", lambda *a: None)
+    assert near == sorted(map(tuple, vector(docs, "medic", lex=lex, classes=("name", "city")).collect()), key=str) and any(x[2].endswith(" 1 1") for x in near)
