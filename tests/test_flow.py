@@ -119,6 +119,28 @@ def test_features_of_all_words_of_a_slice():
         assert flow.Lines(names)(held).to_pylist() == want and list(map(V.features_of(names), words)) == want
 
 
+def _tokens(spark, rows):
+    """The tokens of (doc_id, text) as one slice."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "text"])
+    return flow.Tokens(batch, np.frombuffer(zlib.decompress(flow.classes(spark)), np.uint8))
+
+
+def test_labels_of_all_words_of_a_slice(spark, monkeypatch):
+    """Labels made with arrays are those of single tokens, and runs ask for no single token."""
+    words = [*ODD_TOKENS, "", " ", "\t", "\n", "\x85", "\xa0", "@", "a@", "1234567", "١٢٣٤٥٦", "²²²²²²", "12a", "A", "AB", "aB", "A1", "ǅ", "ÉÀ"]
+    want = [flow.rule_label(w) for w in words]
+    monkeypatch.setattr(flow, "rule_label", None)
+    assert [flow.LABELS[k] for k in flow.rule_labels(words)] == want and not len(flow.rule_labels([]))
+    t = _tokens(spark, [(1, None), (2, "Paul  MARTIN 123456 12"), (3, ""), (None, "a@b.fr Éa")])
+    r = flow.Runs(t)
+    assert [(row, flow.LABELS[k], t.text(a, b + 1)) for row, k, a, b in zip(r.row, r.kind, r.a, r.b, strict=True)] == [(1, "persname", "Paul  MARTIN"), (1, "idno", "123456"), (1, "value", "12"), (3, "email", "a@b.fr"), (3, "persname", "Éa")]
+
+
 def test_lexicon_flags_equal_the_join(spark, monkeypatch):
     """Flags looked up with the features are those of the join that a large lexicon takes."""
     from docloom.operators import gazetteer, vectors
