@@ -141,6 +141,29 @@ def test_labels_of_all_words_of_a_slice(spark, monkeypatch):
     assert [(row, flow.LABELS[k], t.text(a, b + 1)) for row, k, a, b in zip(r.row, r.kind, r.a, r.b, strict=True)] == [(1, "persname", "Paul  MARTIN"), (1, "idno", "123456"), (1, "value", "12"), (3, "email", "a@b.fr"), (3, "persname", "Éa")]
 
 
+def test_swaps_by_numbers_equal_the_maps(spark, monkeypatch):
+    """Tokens swapped by numbers are those of the map of each text, which is not made for them: parts, variants, ties, texts without id."""
+    import random
+
+    r = random.Random(11)
+    signs = ["Paul", "PAUL", "paul", "Martin", "MARTIN", "Éa", "ÉA", "éa", "İst", "Straße", "STRASSE", "Al", "al", "123456", "1234567", "12", "٣٤٥٦٧٨", "a.b@c.fr", "A.B@c.fr", "a@b.fr_c@d.fr", "x", ",", "\n", "-"]
+    rows = [(k if k % 7 else None, None if k % 50 == 1 else "".join(x + r.choice([" ", " ", "  ", ""]) for x in r.choices(signs, k=r.randint(0, 40)))) for k in range(400)]
+    t, held = _tokens(spark, rows), flow.Swap("k").maps(_tokens(spark, rows))
+    toks = [t.words[k] for k in t.code]
+    want = [held.get(row, {}).get(w, (None, None))[1] for row, w in zip(t.row.tolist(), toks, strict=True)]
+    monkeypatch.setattr(flow.Swap, "maps", None)
+    hit = flow.Swap("k")(t)
+    assert hit.tolist() == [w is not None for w in want] and hit.sum() > 1000
+    assert [t.words[k] for k in t.code] == [x if w is None else w for x, w in zip(toks, want, strict=True)]
+    none = _tokens(spark, [(1, ""), (2, None)])
+    assert not flow.Swap("k")(none).any()
+
+
+def test_apply_map_keeps_no_originals(spark):
+    """Originals are made for those who ask for them only."""
+    assert "originals" not in entry.queries()["apply_map"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lexicon_flags_equal_the_join(spark, monkeypatch):
     """Flags looked up with the features are those of the join that a large lexicon takes."""
     from docloom.operators import gazetteer, vectors
