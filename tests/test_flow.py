@@ -173,3 +173,19 @@ def test_lexicon_flags_equal_the_join(spark, monkeypatch):
     near = sorted(map(tuple, vector(docs, "medic", lex=lex, classes=("name", "city")).collect()), key=str)
     monkeypatch.setattr(vectors, "flags", lambda *a: None)
     assert near == sorted(map(tuple, vector(docs, "medic", lex=lex, classes=("name", "city")).collect()), key=str) and any(x[2].endswith(" 1 1") for x in near)
+
+
+def test_long_tokens_are_not_held():
+    """Answers are held for short tokens only, so that their memory is bounded by bytes and not by a number of tokens of any length."""
+    columns = [x for x in queries_text.VECTORS["medic"] if x not in flow.PLACED]
+    lines = flow.Lines(columns)
+    lines.known.held.clear()
+    words = [("xX" * 500)[:n] + "X" * (1000 - n) for n in range(200)] + ["a", "12"]
+    out = lines(type("Slice", (), {"words": words})()).to_pylist()
+    assert sum(map(len, lines.known.held)) < 1000 and {"a", "12"} <= set(lines.known.held)
+    from docloom.functions import values as V
+
+    assert out == [V.features(w, columns) for w in words]
+
+    pseudo = flow.Known(lambda x: x[1])
+    assert [pseudo(("name", w)) for w in words] == words and list(pseudo.held) == [("name", "a"), ("name", "12")]
